@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relquery.llm import hash_tree, line_spread, ss_packing
+from relquery.llm import hash_tree, line_spread, ngram_join, ss_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_hash_tree": hash_tree.op3_hash_tree,
         "op8_ss_packing": ss_packing.op8_ss_packing,
         "op9_line_spread": line_spread.op9_line_spread,
@@ -18,4 +19,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_spread": line_spread.oracle()}
+    return {"op2_ngram_join": ngram_join.oracle(), "op9_line_spread": line_spread.oracle()}
