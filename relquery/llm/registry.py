@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relquery.llm import hash_tree, line_spread, ngram_join, ss_packing
+from relquery.llm import hash_tree, lattice_dedup, line_spread, ngram_join, ss_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_hash_tree": hash_tree.op3_hash_tree,
         "op8_ss_packing": ss_packing.op8_ss_packing,
         "op9_line_spread": line_spread.op9_line_spread,
+        "op10_lattice_dedup": lattice_dedup.op10_lattice_dedup,
     }
 
 
