@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relquery.llm import hash_tree, lattice_dedup, line_spread, ngram_join, ss_packing
+from relquery.llm import hash_tree, lattice_dedup, line_spread, ngram_join, quality_gam, ss_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_hash_tree": hash_tree.op3_hash_tree,
+        "op5_quality_gam": quality_gam.op5_quality_gam,
         "op8_ss_packing": ss_packing.op8_ss_packing,
         "op9_line_spread": line_spread.op9_line_spread,
         "op10_lattice_dedup": lattice_dedup.op10_lattice_dedup,
