@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relquery.llm import decontaminate, hash_tree, lattice_dedup, length_histogram, line_spread, ngram_join, quality_gam, ss_packing
+from relquery.llm import decontaminate, hash_tree, lattice_dedup, length_histogram, line_spread, ngram_join, pii_feistel, quality_gam, ss_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_length_histogram": length_histogram.op4_length_histogram,
         "op5_quality_gam": quality_gam.op5_quality_gam,
         "op6_simhash_decontamination": decontaminate.op6_simhash_decontamination,
+        "op7_pii_feistel": pii_feistel.op7_pii_feistel,
         "op8_ss_packing": ss_packing.op8_ss_packing,
         "op9_line_spread": line_spread.op9_line_spread,
         "op10_lattice_dedup": lattice_dedup.op10_lattice_dedup,
