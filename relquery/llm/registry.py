@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relquery.llm import decontaminate, hash_tree, lattice_dedup, length_histogram, line_spread, ngram_join, pii_feistel, quality_gam, ss_packing
+from relquery.llm import decontaminate, hash_tree, html_blocks, lattice_dedup, length_histogram, line_spread, ngram_join, pii_feistel, quality_gam, ss_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_blocks": html_blocks.op1_html_blocks,
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_hash_tree": hash_tree.op3_hash_tree,
         "op4_length_histogram": length_histogram.op4_length_histogram,
