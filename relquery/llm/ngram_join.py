@@ -311,7 +311,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 
 def near_groups(documents: DataFrame, k: int = 4, percent: int = 85, long: int = LONG) -> DataFrame:
-    """``doc_id, n_shingles, component_id, node`` for every row."""
+    """``doc_id, n_shingles, component_id, root, h`` for every row: root names the component, h is the text's hash."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     named = checkpointed(nodes_of(rows, k))
     counted = checkpointed(_counted(_entries(rows, k, percent, long), percent, long))
@@ -344,7 +344,19 @@ def near_groups(documents: DataFrame, k: int = 4, percent: int = 85, long: int =
     grouped = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = grouped.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("head"))
     joined = grouped.join(heads, "root", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("doc_id")).alias("component_id"), "root", "h")
+
+
+def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80, long: int = LONG) -> DataFrame:
+    """The documents, all columns, with one row of each component: the one with the least doc_id
+    (null ids last), then the least hash of the text. Texts without words stay, all of them."""
+    blank = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    groups = near_groups(documents, k, percent, long).where("n_shingles > 0")
+    chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("c"))
+    chosen = chosen.select(F.col("c.doc_id").alias("__id"), F.col("c.h").alias("__ch"))
+    rows = documents.where(~blank).withColumn("__h", F.xxhash64(F.col("text").cast("string")))
+    rows = rows.join(chosen, (F.col("__h") == F.col("__ch")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__h"]).drop("__h").union(documents.where(blank))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
