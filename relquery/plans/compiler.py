@@ -12,6 +12,7 @@ Columns made on the way start with two underscores and never reach a result.
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Callable
 from functools import reduce
 from typing import TYPE_CHECKING, Any
@@ -432,15 +433,13 @@ class Compiler:
             out = out.where(reduce(lambda a, b: a | b, map(_all, ways)))
         out = out.orderBy(*sorts) if sorts and ordered else out
         if s.distinct:
-            out = out.select(*{h: None for h, _ in outputs}, *carried).distinct()
+            out = out.select(*dict.fromkeys(h for h, _ in outputs), *carried).distinct()
         out = self.page(out, query) if paged else out
         kept = [F.col(f"`{h}`").alias(n) for h, n in outputs] + [F.col(f"`{c}`") for c in carried]
         return out.select(*kept).alias(query.alias), scope, None, []
 
     @staticmethod
     def _renamed(text: str, known: dict[str, str]) -> str:
-        import re
-
         return re.sub(r"'[^']*'|(?<![\w.`])[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?", lambda m: f"`{known[m[0]]}`" if m[0] in known else m[0], text)
 
     def frame(self, query: Query, extras: Callable[[DataFrame, Scope], list[Column]] | None = None, restrict: Callable[[DataFrame, Scope], DataFrame] | None = None, paged: bool = True, ordered: bool = True) -> DataFrame:
