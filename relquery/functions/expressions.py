@@ -47,7 +47,7 @@ def _allowed(text: object, chars: re.Pattern, refused: list[str], functions: lis
     if _has_word(outside_case, ["OR", "AND", "IS", "NOT"]):
         return False
     if strings:
-        text = _STRING.sub(" 0 ", text)
+        text = _STRING.sub(" _literal ", text)
     if any(name.upper() not in functions for name in re.findall(r"[\"`]?([A-Za-z_]\w*)[\"`]?\s*\(", text)):
         return False
     tokens = (t.replace("`", "").replace('"', "") for t in re.split(r"[\s()+\-*/,%<>=]+", text) if t)
@@ -67,7 +67,7 @@ def is_calculation(text: object) -> bool:
 def custom(text: object) -> str:
     if not is_custom(text):
         raise InvalidArgument(f"invalid expression: {str(text)[:80]!r}")
-    return to_spark(text)
+    return to_spark(text.replace('"', "`"))  # double quotes stand around names here, around strings below
 
 
 def calculation(text: object) -> str:
@@ -132,8 +132,7 @@ def _operand(tokens: list[str], at: int, end: int) -> tuple[str, int]:
 
 def _plain(token: str) -> str:
     if token[0] == '"':
-        inner = token[1:-1]
-        return f"`{inner}`" if is_column(inner) else "'" + inner.replace("'", "\\'") + "'"
+        return "'" + token[1:-1].replace("'", "\\'") + "'"
     return {"CURDATE": "current_date()", "CURTIME": "date_format(now(), 'HH:mm:ss')"}.get(token.upper(), token)
 
 

@@ -459,9 +459,16 @@ class Compiler:
         elif extras and not relations and not query.s.distinct:
             frame = frame.select("*", *extras(frame, scope))
         frame = last_of_each(frame)
+        if not relations:
+            return frame
+        place = _hidden("place")
+        sort = bool(query.s.orders) and ordered
+        if sort:  # joins lose the order; ids are given after the sort and rise with it
+            frame = frame.withColumn(place, F.monotonically_increasing_id())
         for r, names in zip(relations, keys, strict=True):
             frame = self.with_relation(frame, r, names)
-        return frame.drop(*[h for names in keys for h in names])
+        frame = frame.orderBy(place) if sort else frame
+        return frame.drop(place, *[h for names in keys for h in names])
 
     def with_relation(self, parents: DataFrame, r: Relation, locals_: list[str]) -> DataFrame:
         """Adds the related rows as a struct or, for many, an array of structs in the order asked for."""
