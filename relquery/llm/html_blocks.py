@@ -47,7 +47,7 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _PARTS = re.compile(r"[a-z]+|[0-9]+")
 #: What a start tag closes, and where the search for it ends.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-PATH_DIM, LEAF_DIM, WORD_DIM, NUMBERS = 64, 32, 48, 8
+PATH_DIM, LEAF_DIM, WORD_DIM, NUMBERS = 192, 96, 48, 8
 INPUT = PATH_DIM + LEAF_DIM + WORD_DIM + NUMBERS
 
 
@@ -384,7 +384,8 @@ class PageMaker:
     def article(self) -> str:
         good = lambda text: "\x01" + text
         out = [f"<{(h := self.pick(['h1', 'h1', 'h2']))}>{good(self.words(int(self.rng.integers(2, 14))))}</{h}>"] if self.chance(0.85) else []
-        for _ in range(int(self.rng.integers(1, 12))):
+        size = int(self.rng.integers(12, 120) if self.chance(0.1) else self.rng.integers(1, 12))
+        for _ in range(size):
             out.append(self.pick([
                 *[lambda: f"<p>{good(self.prose())}</p>"] * 8,
                 lambda: f"<p><b>{good(self.words(int(self.rng.integers(1, 20))))}<br>",
@@ -398,8 +399,8 @@ class PageMaker:
                 lambda: "<table>" + "".join(f"<tr><td>{good(self.words(2))}</td><td>{good(self.words(3))}</td></tr>" for _ in range(2)) + "</table>",
                 lambda: f"<div>{good(self.prose())}</div>",
             ])())
-            if self.chance(0.06):
-                out.append(self.pick([self.advert, self.form, lambda: f"<div{self.named(self.MORE, 1)}>{self.links()}</div>", lambda: self.boxed(self.NOTICE, ["div"])])())
+            if self.chance(0.16 if size < 12 else 0.03):
+                out.append(self.pick([self.advert, lambda: self.boxed(self.SIDE, ["aside", "div"]), self.form, lambda: f"<div{self.named(self.MORE, 1)}>{self.links()}</div>", lambda: self.boxed(self.NOTICE, ["div"])])())
         body = "".join(out)
         if self.chance(0.08):
             body += self.talk()
@@ -438,7 +439,7 @@ def labelled(page: str) -> tuple[list[Block], np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 1800, epochs: int = 6, batch: int = 48, rate: float = 0.01, seed: int = 11) -> Labeller:
+def trained(pages: int = 2200, epochs: int = 5, batch: int = 48, rate: float = 0.01, seed: int = 11) -> Labeller:
     """The network after Adam on made pages; always the same for the same arguments."""
     maker = PageMaker(seed)
     made = [p for p in (labelled(maker.page()) for _ in range(pages)) if len(p[1])]
