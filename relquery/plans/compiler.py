@@ -33,6 +33,8 @@ if TYPE_CHECKING:
 _counter = itertools.count()
 #: Longer lists of values are joined rather than written into the plan.
 LONG_LIST = 10_000
+#: A page of at most so many rows is fetched before its relations are read, as their rows are then few.
+PAGE_ROWS = 10_000
 
 
 def _hidden(what: str) -> str:
@@ -461,17 +463,22 @@ class Compiler:
         frame = last_of_each(frame)
         if not relations:
             return frame
+        limit = query.s.limit if query.s.limit is not None else query.s.page[0] if query.s.page else None
+        fetched = paged and limit is not None and limit <= PAGE_ROWS
+        if fetched:  # rows are chosen once; the relations' scans are then filtered by the keys of these rows
+            frame = self.session.spark.createDataFrame(frame.collect(), frame.schema)
         place = _hidden("place")
         sort = bool(query.s.orders) and ordered
         if sort:  # joins lose the order; ids are given after the sort and rise with it
             frame = frame.withColumn(place, F.monotonically_increasing_id())
         for r, names in zip(relations, keys, strict=True):
-            frame = self.with_relation(frame, r, names)
+            frame = self.with_relation(frame, r, names, fetched)
         frame = frame.orderBy(place) if sort else frame
         return frame.drop(place, *[h for names in keys for h in names])
 
-    def with_relation(self, parents: DataFrame, r: Relation, locals_: list[str]) -> DataFrame:
-        """Adds the related rows as a struct or, for many, an array of structs in the order asked for."""
+    def with_relation(self, parents: DataFrame, r: Relation, locals_: list[str], few: bool = False) -> DataFrame:
+        """Adds the related rows as a struct or, for many, an array of structs in the order asked for.
+        few: the parents are a page that was fetched."""
         sub = r.sub
         foreign = [_hidden("f") for _ in r.foreign]
         sorts = [_hidden("s") for _ in sub.s.orders]
@@ -493,9 +500,10 @@ class Compiler:
         def current(frame: DataFrame, scope: Scope) -> DataFrame:
             names = [_hidden("p") for _ in locals_]
             present = parents.select(*[F.col(l).alias(n) for l, n in zip(locals_, names, strict=True)]).distinct()
+            present = F.broadcast(present) if few else present
             return frame.join(present, _all([scope.local(f) == F.col(n) for f, n in zip(r.foreign, names, strict=True)]), "left_semi")
 
-        child = self.frame(sub, extras, restrict=current if sub.s.limit is not None or sub.s.offset else None)
+        child = self.frame(sub, extras, restrict=current if few or sub.s.limit is not None or sub.s.offset else None)
         visible = [c for c in child.columns if c not in (*foreign, *sorts)]
         struct = F.struct(*[F.col(f"`{c}`") for c in visible])
         ties = [F.col(f"`{f.name}`") for f in child.schema if f.name in visible and not isinstance(f.dataType, (T.MapType, T.VariantType))]

@@ -355,3 +355,10 @@ def test_aggregates_over_one_relation_share_a_scan(db):
     assert q.to_df()._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
     only = db.query_on("people").where_has("scores", *KEYS)
     assert "LeftSemi" in only.to_df()._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_page_reads_related_rows_of_its_own_keys_only(people):
+    q = people().select("name").limit(2).with_many("scores", *KEYS, lambda s: s.order_by("value"))
+    frame = q.to_df()
+    assert "LeftSemi" in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.name, [s.value for s in r.scores]) for r in frame.collect()] == [("Alice", [10, 30, 50]), ("Bob", [])]
