@@ -24,9 +24,11 @@ that can still reach T are probed in the long ones by binary search, and nodes
 already known to be connected are passed over.
 
 A candidate is verified on the whole sets of both texts. Verification first
-takes each node's best candidate; what these connect needs no further proof,
-and only pairs between different components remain for the second pass. So the
-work on a group of copies follows its size, not its pairs.
+takes each node's best candidate (for members of long lists, one of the lists' first
+nodes); what these connect needs no further proof. In the blocks, members of the
+largest component are not compared with each other, and a block within one component
+costs nothing. Last, only pairs between different components remain. So the work on a
+group of copies follows its size, not its pairs.
 
 Components come from distributed star contraction. Hot elements are pre-aggregated
 in each chunk of texts before they are shuffled. Sets, nodes and elements are
@@ -60,7 +62,7 @@ SLACK = 0.15
 #: Members of a list that is merged in a block, where others can be set aside.
 SHORT = 8
 #: Shingles in a block of the search among nodes of long lists.
-BLOCK = 400_000
+BLOCK = 200_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,9 +119,10 @@ def nodes_of(documents: DataFrame, k: int) -> DataFrame:
 
 
 def _entries(documents: DataFrame, k: int, percent: int, long: int) -> DataFrame:
-    """``key, mark, node, n, more``: a list's entry (mark 0), a list known to be long
-    (1), or how many more long lists a node stands in (2, dealt by node)."""
-    ddl, schema = _longs("key", "mark", "node", "n", "more")
+    """``key, mark, node, n, more, other``: a list's entry (mark 0), an entry of a list known to be
+    long (1), in how many more long lists a node stands (2, dealt by node), or in how many of them
+    ``node``, of size n, comes first and ``key``, of size ``other``, stands too (3)."""
+    ddl, schema = _longs("key", "mark", "node", "n", "more", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,16 +137,29 @@ def _entries(documents: DataFrame, k: int, percent: int, long: int) -> DataFrame
                 keys, mine, size = sets[at], names[owner], n[owner]
                 _, where, count = np.unique(keys, return_inverse=True, return_counts=True)
                 hot = count[where] > long
-                yield _batch(schema, keys[~hot], np.zeros((~hot).sum()), mine[~hot], size[~hot], np.zeros((~hot).sum()))
+                none = np.zeros((~hot).sum(), np.int64)
+                yield _batch(schema, keys[~hot], none, mine[~hot], size[~hot], none, none)
                 if hot.any():
-                    some, sample = np.unique(keys[hot], return_index=True)
-                    yield _batch(schema, some, np.ones(len(some)), mine[hot][sample], size[hot][sample], np.zeros(len(some)))
-                    nodes, first, times = np.unique(mine[hot], return_index=True, return_counts=True)
-                    yield _batch(schema, nodes, np.full(len(nodes), 2), nodes, size[hot][first], times)
+                    some, sample, place = np.unique(keys[hot], return_index=True, return_inverse=True)
+                    none = np.zeros(len(some), np.int64)
+                    yield _batch(schema, some, none + 1, mine[hot][sample], size[hot][sample], none, none)
+                    nodes, at, times = np.unique(mine[hot], return_index=True, return_counts=True)
+                    none = np.zeros(len(nodes), np.int64)
+                    yield _batch(schema, nodes, none + 2, nodes, size[hot][at], times, none)
+                    both = np.stack([mine[hot], size[hot], mine[hot][sample][place], size[hot][sample][place]])
+                    both, times = np.unique(both[:, both[0] != both[2]], axis=1, return_counts=True)
+                    yield _batch(schema, both[0], np.full(len(times), 3), both[2], both[3], times, both[1])
 
     return documents.select("text").mapInArrow(run, ddl)
 
 
+def _ordered(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs as rows lesser node, greater node and their sizes, of sizes that can be linked; and which they are."""
+    fits = (x != y) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+    low = x < y
+    return np.stack([np.where(low, x, y), np.where(low, y, x), np.where(low, nx, ny), np.where(low, ny, nx)])[:, fits], fits
+
+
 class _Lists:
     """Inverted lists as they arrive in order of element; holds one short list at most."""
 
@@ -151,6 +167,7 @@ class _Lists:
         self.long, self.percent = long, percent
         self.rest = np.zeros((0, 4), np.int64)  # key, mark, node, n
         self.skipped: int | None = None
+        self.hub = (0, 0)  # node and size of the first entry of the list that is skipped
 
     def add(self, rows: np.ndarray, last: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
         """(a, b, count, size of a, size of b); b is 0 for counts of long lists."""
@@ -167,8 +184,12 @@ class _Lists:
         is_long = (length > self.long) | (mark[start] == 1)
         if self.skipped is not None and key[0] == self.skipped:
             is_long[0] = True
+        hubs = np.stack([node[start], n[start]], axis=1)
+        if is_long[0] and self.skipped is not None and key[0] == self.skipped:
+            hubs[0] = self.hub
         if not last:
             self.skipped = int(key[-1]) if is_long[-1] else None
+            self.hub = tuple(hubs[-1].tolist())
             keep = 0 if is_long[-1] else length[-1]
             self.rest = rows[len(rows) - keep :]
         else:
@@ -180,6 +201,9 @@ class _Lists:
             nodes, first, times = np.unique(node[:done][counted], return_index=True, return_counts=True)
             yield nodes, np.zeros_like(nodes), times, n[:done][counted][first], np.zeros_like(nodes)
         pairs = []
+        if of_long.any():  # every entry of a long list is a candidate with the list's first one
+            hub, hub_n = (x[:done][of_long] for x in np.repeat(hubs, length, axis=0).T)
+            pairs.append(_ordered(hub, hub_n, node[:done][of_long], n[:done][of_long], self.percent)[0])
         key, node, n, short = key[:done], node[:done], n[:done], ~of_long
         key, node, n = key[short], node[short], n[short]
         for step in range(1, self.long):
@@ -188,7 +212,7 @@ class _Lists:
                 break
             a, b = same, same + step
             fits = 100 * np.minimum(n[a], n[b]) >= self.percent * np.maximum(n[a], n[b])
-            pairs.append(np.stack([node[a[fits]], node[b[fits]], n[a[fits]], n[b[fits]]]))
+            pairs.append(np.stack([node[a[fits]], node[b[fits]], n[a[fits]], n[b[fits]]]))  # nodes ascend in a list
         if pairs and (p := np.concatenate(pairs, axis=1)).size:
             order = np.lexsort((p[1], p[0]))
             p = p[:, order]
@@ -203,11 +227,15 @@ def _counted(entries: DataFrame, percent: int, long: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = _Lists(long, percent)
         for batch in batches:
-            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1) if batch.num_rows else np.zeros((0, 5), np.int64)
+            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1) if batch.num_rows else np.zeros((0, 6), np.int64)
             side = rows[rows[:, 1] == 2]
             if len(side):
                 yield _batch(schema, side[:, 2], np.zeros(len(side)), side[:, 4], side[:, 3], np.zeros(len(side)))
-            for out in lists.add(rows[rows[:, 1] != 2][:, :4]):
+            first = rows[rows[:, 1] == 3]
+            if len(first):
+                pairs, fits = _ordered(first[:, 2], first[:, 3], first[:, 0], first[:, 5], percent)
+                yield _batch(schema, pairs[0], pairs[1], first[fits, 4], pairs[2], pairs[3])
+            for out in lists.add(rows[rows[:, 1] < 2][:, :4]):
                 yield _batch(schema, *out)
         for out in lists.add(np.zeros((0, 4), np.int64), last=True):
             yield _batch(schema, *out)
@@ -236,10 +264,23 @@ def divide_skip(query: list[int], size: int, lists: dict[int, list[int]], least:
             yield member
 
 
-def _search_block(sets: list[np.ndarray], left: list[bool], right: list[bool], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked between left and right (a spanning forest of them)."""
+def _search_block(sets: list[np.ndarray], left: list[bool], right: list[bool], known: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links that, with what is known to be connected, connect all that is linked between left and right.
+
+    The largest known component has lists of its own: its members are not compared with each other."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    forest, lists, edges = Forest(len(sets)), {}, []
+    groups: dict[int, list[int]] = {}
+    for rank, i in enumerate(order):
+        groups.setdefault(known[i], []).append(rank)
+    if len(groups) == 1:
+        return []
+    forest, edges = Forest(len(sets)), []
+    for ranks in groups.values():
+        for r in ranks[1:]:
+            forest.join(ranks[0], r)
+    main = max(groups, key=lambda g: len(groups[g]))
+    of_main: dict[int, list[int]] = {}
+    of_rest: dict[int, list[int]] = {}
     for rank, i in enumerate(order):
         mine = sets[i].tolist()
         # what stands in the lists is not larger, so a link needs T of the query
@@ -249,17 +290,18 @@ def _search_block(sets: list[np.ndarray], left: list[bool], right: list[bool], p
             j = order[other]
             return not (left[i] and right[j] or right[i] and left[j]) or forest.root(other) == forest.root(rank)
 
-        for other in divide_skip(mine, SHORT, lists, least, skip):
-            if linked(sets[i], sets[order[other]], percent):
-                forest.join(rank, other)
-                edges.append((i, order[other]))
+        for lists in (of_rest,) if known[i] == main else (of_rest, of_main):
+            for other in divide_skip(mine, SHORT, lists, least, skip):
+                if linked(sets[i], sets[order[other]], percent):
+                    forest.join(rank, other)
+                    edges.append((i, order[other]))
         for t in mine:
-            lists.setdefault(t, []).append(rank)
+            (of_main if known[i] == main else of_rest).setdefault(t, []).append(rank)
     return edges
 
 
 def _block_links(heavy: DataFrame, k: int, percent: int) -> DataFrame:
-    """``a, b``: links among ``node, n, text`` that connect all that is linked there."""
+    """``a, b``: links among ``node, n, root, text`` that, with what has one root, connect all that is linked there."""
     ratio = 100 / (percent - 1)  # two linked sizes lie in one band or in neighbouring ones
     rows = heavy.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio))).cast("int"))
     bands = rows.groupBy("band").agg(F.count("*").alias("many"))  # a row for each band: log(size)
@@ -280,7 +322,7 @@ def _block_links(heavy: DataFrame, k: int, percent: int) -> DataFrame:
     downward = upto(F.col("down"), lambda i: part(band - 1, i, 1, own, False, True))
     empty = F.array().cast("array<struct<band:int,i:int,kind:int,j:int,l:boolean,r:boolean>>")
     dealt = rows.withColumn("to", F.explode(F.concat(same, F.coalesce(upward, empty), F.coalesce(downward, empty))))
-    dealt = dealt.select("to.band", "to.i", "to.kind", "to.j", "to.l", "to.r", "node", "text")
+    dealt = dealt.select("to.band", "to.i", "to.kind", "to.j", "to.l", "to.r", "node", "root", "text")
     ddl, schema = _longs("a", "b")
 
     def run(group: pa.Table) -> pa.Table:
@@ -288,7 +330,7 @@ def _block_links(heavy: DataFrame, k: int, percent: int) -> DataFrame:
         sets, offsets = shingle_sets(*texts_of(group.column("text")), k)
         each = [sets[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         node = group.column("node").to_numpy()
-        edges = _search_block(each, group.column("l").to_pylist(), group.column("r").to_pylist(), percent)
+        edges = _search_block(each, group.column("l").to_pylist(), group.column("r").to_pylist(), group.column("root").to_pylist(), percent)
         a, b = (np.array([node[e[x]] for e in edges], np.int64) for x in (0, 1))
         return pa.table([pa.array(a), pa.array(b)], schema=schema)
 
@@ -328,23 +370,29 @@ def near_groups(documents: DataFrame, k: int = 4, percent: int = 85, long: int =
     pairs = checkpointed(pairs.where(F.col("c") >= F.greatest(F.lit(1), enough)).select("a", "b", "c"))
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(heavy.select("node")).distinct()
-    holders = named.join(wanted, "node", "left_semi").groupBy("node", "n").agg(F.min("h").alias("h"))
+    # a row for each node before it meets anything, so that copies, however many, are one row
+    nodes = named.where("n > 0").groupBy("node", "n").agg(F.min("h").alias("h"), F.min("doc_id").alias("head"))
+    holders = nodes.join(wanted, "node", "left_semi").select("node", "n", "h")
     texts = checkpointed(rows.select("h", "text").join(holders, "h").dropDuplicates(["h", "node"]).select("node", "n", "text"))
 
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    links = checkpointed(_verified(first, texts, k, percent).union(_block_links(texts.join(heavy.select("node"), "node", "left_semi"), k, percent)))
+    links = checkpointed(_verified(first, texts, k, percent))
     roots = checkpointed(components(links))
+    crowd = texts.join(heavy.select("node"), "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = checkpointed(_block_links(crowd, k, percent))
     rest = pairs
     for end in ("a", "b"):
         rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
     rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     more = checkpointed(_verified(rest, texts, k, percent))
-    if not more.isEmpty():
-        roots = components(links.union(more))
-    grouped = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = grouped.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("head"))
-    joined = grouped.join(heads, "root", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("doc_id")).alias("component_id"), "root", "h")
+    later = found.union(more)
+    if not later.isEmpty():
+        roots = components(links.union(later))
+    rooted = nodes.select("node", "head").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "head")
+    heads = rooted.groupBy("root").agg(F.min("head").alias("head"))
+    placed = rooted.select("node", "root").join(heads, "root")
+    joined = named.join(placed, "node", "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("root", "node").alias("root"), "h")
 
 
 def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80, long: int = LONG) -> DataFrame:
