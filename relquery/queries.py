@@ -235,9 +235,9 @@ def with_sum_cb(s):
     return s.query_on("orders").select("o_orderkey").with_sum({"lineitem": "ret_qty"}, "l_orderkey", "o_orderkey", "l_quantity", False, lambda q: q.where("l_returnflag", "R"))
 
 
-@query("select o_orderkey, round((select sum(l_extendedprice * l_discount) from lineitem where l_orderkey = o_orderkey),2) d from orders")
+@query("select o_orderkey, round((select sum(l_extendedprice * l_discount) from lineitem where l_orderkey = o_orderkey),4) d from orders")
 def with_sum_expr(s):
-    return s.query_on("orders").select("o_orderkey").with_sum({"lineitem": "d"}, "l_orderkey", "o_orderkey", "l_extendedprice * l_discount", True).to_df().withColumn("d", F.round("d", 2))
+    return s.query_on("orders").select("o_orderkey").with_sum({"lineitem": "d"}, "l_orderkey", "o_orderkey", "l_extendedprice * l_discount", True).to_df().withColumn("d", F.round("d", 4))
 
 
 @query("select o_orderkey, round((select avg(l_quantity) from lineitem where l_orderkey = o_orderkey),4) a, (select min(l_quantity) from lineitem where l_orderkey = o_orderkey) mn, (select max(l_quantity) from lineitem where l_orderkey = o_orderkey) mx from orders")
@@ -253,7 +253,7 @@ def with_calculation(s):
     return q.with_calculation({"lineitem": "n1"}, "l_orderkey", "o_orderkey", "COUNT(*) + 1").to_df().withColumn("pct", F.round("pct", 6))
 
 
-@query("select c_custkey, (select length(n_name) + 1 from nation where n_nationkey = c_nationkey) plus from customer")
+@query("select c_custkey, (select cast(length(n_name) + 1 as int) from nation where n_nationkey = c_nationkey) plus from customer")
 def with_calculation_row(s):
     return s.query_on("customer").select("c_custkey").with_calculation({"nation": "plus"}, "n_nationkey", "c_nationkey", "LENGTH(n_name) + 1")
 
