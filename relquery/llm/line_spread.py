@@ -52,9 +52,10 @@ def spread(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame:
         .where(F.col("estimate") >= min_sites - error)
     )
     sure = F.col("estimate") > min_sites + error
-    near = sketched.where(~sure).select("h", "holder")
-    exact = lines.join(near.select("h"), "h", "left_semi").where("site is not null").groupBy("h").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
-    return sketched.where(sure).select("h", "holder").union(near.join(exact.select("h"), "h", "left_semi").select("h", "holder"))
+    # one row for each line and site, made map side, so that a hot line brings few rows to the join
+    sites = lines.where("site is not null").select("h", "site").distinct()
+    exact = sites.join(sketched.where(~sure).select("h"), "h", "left_semi").groupBy("h").agg(F.count("*").alias("sites"))
+    return sketched.join(exact, "h", "left").where(sure | (F.col("sites") >= min_sites)).select("h", "holder")
 
 
 def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, site: str = "source", lg_k: int = LG_K) -> DataFrame:
