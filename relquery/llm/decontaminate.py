@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquery.llm.common import chunks, mix, shingle_hashes, span_hashes, table, texts_of, word_spans
+from relquery.llm.common import checkpointed, chunks, mix, shingle_hashes, span_hashes, table, texts_of, word_spans
 from relquery.llm.common import LOWER as LOWER_VALUES
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
 BLOCK_ITEMS = 20_000
+#: Hashes, of eight bytes each, that may be broadcast.
+BROADCAST_ROWS = 250_000
 _FILTER_BITS = 22
 
 _ASCII_WORD = np.zeros(256, bool)
@@ -230,9 +232,10 @@ def matches(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def remove(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, radius: int = RADIUS, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The documents, all columns, without those that match an item. Matches, by the
-    text's hash, are far fewer than texts; Spark broadcasts them only if their measured size allows."""
-    found = matches(documents, benchmark, similarity, k, radius, block_items).select(F.col("h").alias("__h")).distinct()
+    """The documents, all columns, without those that match an item. Matches are named by the
+    text's hash and counted; up to BROADCAST_ROWS of them are sent to all executors, more are joined."""
+    found = checkpointed(matches(documents, benchmark, similarity, k, radius, block_items).select(F.col("h").alias("__h")).distinct())
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     return documents.join(found, F.xxhash64(documents["text"].cast("string")) == F.col("__h"), "left_anti")
 
 
