@@ -16,8 +16,9 @@ Numbers are networks over mixed radix, so the domain is met exactly and no value
 leaves it; strings are networks over their two halves. A round's function is SHA-256 of
 key, kind, round and half. What fails validation stays as it is.
 
-Texts without digit or @ are passed over; others are split at the pattern and put
-together again, so nothing else changes. No shuffle takes place.
+Texts without digit, @ and mark of a secret can hold no value and are passed
+over; others are split at the pattern and put together again, so nothing else changes.
+No shuffle takes place.
 
 Defined results: null texts stay null, empty ones empty; equal rows are treated alike;
 an empty table gives no rows; all columns are kept, ``text``, and ``n_chars`` if there is
@@ -45,6 +46,7 @@ _PHONE = r"(?<![\d-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{
 _SSN = r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])"
 _CARD = r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)"
 PATTERN = "|".join((_EMAIL, _SECRET, _DATE, _IP, _PHONE, _SSN, _CARD))
+_MARK = r"[=:](?<=(?i:password|token|secret|key)\s?[=:])"
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëíîïñóôöùúûüß")
 _DAYS, _DAY_A, _DAY_B = "1800-01-01", 189, 773  # 400 years have 189 * 773 days
 
@@ -210,9 +212,14 @@ def pseudonym(m: Column, key: str, back: bool = False) -> Column:
     return out
 
 
+def _maybe(text: Column) -> Column:
+    """Whether the pattern can find a value: all but secrets hold a digit or @, and secrets their marks."""
+    return text.rlike(r"[0-9@]") | text.contains("AKIA") | text.rlike(_MARK)
+
+
 def pseudonymise(documents: DataFrame, key: str = KEY, back: bool = False) -> DataFrame:
     """The documents with pseudonyms in their texts; ``back`` turns pseudonyms into the values."""
-    maybe = F.col("text").rlike(r"[0-9@]")
+    maybe = _maybe(F.col("text"))
     rows = documents.drop("n_pseudonyms").withColumn("__found", F.when(maybe, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
     rows = rows.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, key, back))))
     gaps = F.split(F.col("text"), PATTERN, -1)
