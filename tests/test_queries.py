@@ -1,6 +1,7 @@
 """Rows and shapes that queries give on a small fixture."""
 
 import warnings
+from pathlib import Path
 
 import pytest
 
@@ -362,3 +363,21 @@ def test_a_page_reads_related_rows_of_its_own_keys_only(people):
     frame = q.to_df()
     assert "LeftSemi" in frame._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.name, [s.value for s in r.scores]) for r in frame.collect()] == [("Alice", [10, 30, 50]), ("Bob", [])]
+
+
+def test_what_replaces_recorded_clauses_and_queued_rows(people, db):
+    text = (Path(__file__).parents[1] / "README.md").read_text().partition("Not provided:")[2].partition("\n")[0]
+    for name in ("start_cache", "stop_cache", "flush_cache", "set", "set_insert_batch", "set_update_batch"):
+        assert f"`{name}`" in text and not hasattr(Query, name) and not hasattr(db, name)
+    base = people().where("category", "A")
+    assert names(base.copy().where("id", 3)) == ["Charlie"] and names(base.copy().or_where("id", 2)) == ["Alice", "Bob", "Charlie"]
+    assert names(base) == ["Alice", "Charlie"]
+    rows = [{"id": 5, "name": "E"}]
+    rows.append({"name": "F", "id": 6})
+    assert db.insert_batch("people", rows) == 2 and names(people()) == ["Alice", "Bob", "Charlie", "E", "F"]
+    rows = [{"id": 5, "name": "E5"}]
+    rows.append({"id": 6, "email": "f@x"})
+    db.update_batch("people", rows, "id")
+    assert [(r.name, r.email) for r in people().where("id >", 4).get().result()] == [("E5", None), ("F", "f@x")]
+    with pytest.raises(InvalidArgument):
+        db.update_batch("people", [*rows, {"name": "x"}], "id")
