@@ -17,10 +17,10 @@ REFUSED = "INSERT UPDATE DELETE DROP UNION EXEC EXECUTE CREATE ALTER TRUNCATE".s
 REFUSED_IN_CUSTOM = "SELECT FROM JOIN".split()
 REFUSED_IN_CALCULATION = "INTO VALUES SELECT FROM JOIN WHERE HAVING OUTFILE DUMPFILE".split()
 REFUSED_MARKS = (";", "--", "/*", "*/", "||", "&&")
+CUSTOM_MARKS, CALCULATION_MARKS = '()+-*/.,`"<>=', "()+-*/.,`%<>='\""
 MAX_LENGTH = 2000
 
-_CUSTOM = re.compile(r"[\w\s()+\-*/.,`\"<>=]+")
-_CALCULATION = re.compile(r"[\w\s()+\-*/.,`%<>='\"]+")
+_CUSTOM, _CALCULATION = (re.compile(rf"[\w\s{re.escape(marks)}]+") for marks in (CUSTOM_MARKS, CALCULATION_MARKS))
 _STRING = re.compile(r"\"[^\"]*\"|'[^']*'")
 _AGGREGATE = re.compile(r"\b(?:SUM|AVG|COUNT|MAX|MIN)\s*\(", re.I)
 

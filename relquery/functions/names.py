@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 
 class InvalidArgument(ValueError):
@@ -80,6 +80,20 @@ def bare(name: str) -> str:
     return name.rpartition(".")[2]
 
 
+def protected(text: str, prefixed: Callable[[str], str] = str) -> str:
+    """``a.b AS c`` with each name in backquotes; a star, numbers, calls and text in quotes stay as they are."""
+    words = text.split()
+    if len(words) == 3 and words[1].upper() == "AS":
+        return f"{protected(words[0], prefixed)} AS `{words[2]}`"
+    if len(words) == 2:
+        return f"{protected(words[0], prefixed)} `{words[1]}`"
+    if len(words) != 1 or re.search(r"[('\"]", text):
+        return text
+    parts = [p.strip("`") for p in text.split(".")]
+    parts[:-1] = [*parts[:-2], prefixed(parts[-2])] if len(parts) > 1 else []
+    return ".".join(p if p == "*" or p.isdigit() else f"`{p}`" for p in parts)
+
+
 def split_list(text: str) -> list[str]:
     """Comma-separated parts; commas in brackets or quotes don't count."""
     parts, depth, quote, now = [], 0, "", ""

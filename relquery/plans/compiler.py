@@ -33,7 +33,7 @@ if TYPE_CHECKING:
 _counter = itertools.count()
 #: Longer lists of values are joined rather than written into the plan.
 LONG_LIST = 10_000
-#: A page of at most so many rows is fetched before its relations are read, as their rows are then few.
+#: The keys of a page of at most so many rows are broadcast to the scans of its relations; those of longer ones are joined.
 PAGE_ROWS = 10_000
 
 
@@ -71,7 +71,7 @@ def compared(left: Column, op: str, right: Column | Any) -> Column:
 def matched(frame: DataFrame, column: Column, value: Any) -> tuple[Column, Any]:
     """Column and literal of types that compare as a weakly typed database would."""
     kind = frame.select(column).schema[0].dataType
-    if isinstance(kind, T.BooleanType) and isinstance(value, (int, str)) and not isinstance(value, bool):
+    if isinstance(kind, T.BooleanType) and isinstance(value, (int, float, str)) and not isinstance(value, bool):
         return column.cast("int"), F.lit(value).try_cast("int") if isinstance(value, str) else value
     if isinstance(value, bool) and not isinstance(kind, T.BooleanType):
         value = int(value)
@@ -225,14 +225,32 @@ class Compiler:
         raise TypeError(type(node))
 
     def in_long_list(self, frame: DataFrame, scope: Scope, node: pr.In) -> tuple[DataFrame, Column]:
+        """As ``simple`` does for a short list: values of one type are joined together, by the rule for that type."""
         column = scope.expr(node.key)
         kind = frame.select(column).schema[0].dataType
-        name, flag = _hidden("v"), _hidden("found")
-        known = [v for v in node.values if v is not None]
-        right = self.session.spark.createDataFrame([(v,) for v in known], T.StructType([T.StructField(name, kind)])).distinct().withColumn(flag, F.lit(True))
-        frame = frame.join(right, column == F.col(name), "left")
-        missing = F.lit(False) if len(known) == len(node.values) else F.lit(None).cast("boolean")
-        out = F.when(column.isNotNull(), F.coalesce(F.col(flag), missing))
+        kinds: dict[type, list] = {}
+        for v in node.values:
+            if v is not None:
+                v = int(v) if isinstance(v, bool) and not isinstance(kind, T.BooleanType) else v
+                kinds.setdefault(type(v), []).append(v)
+        unknown = any(v is None for v in node.values)
+        flags = []
+        for values in kinds.values():
+            left, _ = matched(frame, column, values[0])
+            name, flag, key = _hidden("v"), _hidden("found"), _hidden("l")
+            right = self.session.spark.createDataFrame([(v,) for v in values], [name])
+            if isinstance(values[0], str) and isinstance(kind, (T.NumericType, T.BooleanType)):  # as ``matched`` casts a literal
+                right = right.select(F.col(name).try_cast("double" if isinstance(kind, T.NumericType) else "int").alias(name))
+            unknown_here = right.where(F.col(name).isNull()).limit(1).count() > 0
+            unknown = unknown or unknown_here
+            right = right.where(F.col(name).isNotNull()).distinct().withColumn(flag, F.lit(True))
+            frame = frame.withColumn(key, left)
+            frame = frame.join(right, F.col(key) == F.col(name), "left")
+            flags.append((F.col(flag), F.col(key)))
+        # as in SQL: true if found, unknown if the column or a value is null, else false
+        found = reduce(lambda a, b: a | b, [F.coalesce(f, F.lit(False)) for f, _ in flags], F.lit(False))
+        blank = F.lit(unknown) | reduce(lambda a, b: a | b, [k.isNull() for _, k in flags], F.lit(False)) | column.isNull()
+        out = F.when(found, F.lit(True)).when(blank, F.lit(None).cast("boolean")).otherwise(F.lit(False))
         return frame, ~out if node.negated else out
 
     # ------------------------------------------------------------ related rows
@@ -464,21 +482,21 @@ class Compiler:
         if not relations:
             return frame
         limit = query.s.limit if query.s.limit is not None else query.s.page[0] if query.s.page else None
-        fetched = paged and limit is not None and limit <= PAGE_ROWS
-        if fetched:  # rows are chosen once; the relations' scans are then filtered by the keys of these rows
-            frame = self.session.spark.createDataFrame(frame.collect(), frame.schema)
+        few = paged and limit is not None
+        if few:  # rows are chosen once, when first read; the relations' scans are filtered by the keys of these rows
+            frame = self.session.held(frame)
         place = _hidden("place")
         sort = bool(query.s.orders) and ordered
         if sort:  # joins lose the order; ids are given after the sort and rise with it
             frame = frame.withColumn(place, F.monotonically_increasing_id())
         for r, names in zip(relations, keys, strict=True):
-            frame = self.with_relation(frame, r, names, fetched)
+            frame = self.with_relation(frame, r, names, few, few and limit <= PAGE_ROWS)
         frame = frame.orderBy(place) if sort else frame
         return frame.drop(place, *[h for names in keys for h in names])
 
-    def with_relation(self, parents: DataFrame, r: Relation, locals_: list[str], few: bool = False) -> DataFrame:
+    def with_relation(self, parents: DataFrame, r: Relation, locals_: list[str], few: bool = False, send: bool = False) -> DataFrame:
         """Adds the related rows as a struct or, for many, an array of structs in the order asked for.
-        few: the parents are a page that was fetched."""
+        few: the parents are a page; send: and so small by its limit that its keys may be broadcast."""
         sub = r.sub
         foreign = [_hidden("f") for _ in r.foreign]
         sorts = [_hidden("s") for _ in sub.s.orders]
@@ -500,7 +518,7 @@ class Compiler:
         def current(frame: DataFrame, scope: Scope) -> DataFrame:
             names = [_hidden("p") for _ in locals_]
             present = parents.select(*[F.col(l).alias(n) for l, n in zip(locals_, names, strict=True)]).distinct()
-            present = F.broadcast(present) if few else present
+            present = F.broadcast(present) if send else present
             return frame.join(present, _all([scope.local(f) == F.col(n) for f, n in zip(r.foreign, names, strict=True)]), "left_semi")
 
         child = self.frame(sub, extras, restrict=current if few or sub.s.limit is not None or sub.s.offset else None)
@@ -509,6 +527,12 @@ class Compiler:
         ties = [F.col(f"`{f.name}`") for f in child.schema if f.name in visible and not isinstance(f.dataType, (T.MapType, T.VariantType))]
         order = [F.col(h).desc() if o.descending else F.col(h).asc() for o, h in zip(sub.s.orders, sorts, strict=True)]
         rank, name = _hidden("n"), _hidden("x")
+        plain = len(ties) == len(visible) and not any(o.descending for o in sub.s.orders)
+        if plain and (not r.many or sub.s.limit_per_parent is None):
+            # ascending rows need no window: the least of them, or all, sorted once where they are gathered
+            whole = F.struct(*[F.col(f"`{h}`") for h in sorts], *[t.alias(f"t{k}") for k, t in enumerate(ties)], struct.alias("row"))
+            held = child.groupBy(*foreign).agg((F.transform(F.sort_array(F.collect_list(whole)), lambda x: x["row"]) if r.many else F.min(whole)["row"]).alias(name))
+            return self._nested(parents, r, locals_, foreign, held, name)
         ranked = child.withColumn(rank, F.row_number().over(Window.partitionBy(*foreign).orderBy(*order, *ties)))
         most = sub.s.limit_per_parent if r.many else 1
         ranked = ranked.where(F.col(rank) <= most) if most is not None else ranked
@@ -516,6 +540,10 @@ class Compiler:
             held = ranked.groupBy(*foreign).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(rank), struct.alias("row")))), lambda x: x["row"]).alias(name))
         else:
             held = ranked.select(*foreign, struct.alias(name))
+        return self._nested(parents, r, locals_, foreign, held, name)
+
+    @staticmethod
+    def _nested(parents: DataFrame, r: Relation, locals_: list[str], foreign: list[str], held: DataFrame, name: str) -> DataFrame:
         on = []
         for l, f in zip(locals_, foreign, strict=True):
             on.append(F.col(l) == F.col(f))

@@ -37,27 +37,28 @@ def chunk(query: Query, size: int, callback: Callable[[list], Any]) -> int:
 
 
 def chunk_by_id(query: Query, size: int, callback: Callable[[list], Any], column: str = "id") -> int:
-    """Pages by a key: each asks for keys above the last one, which the scan can push down."""
+    """Pages by a key: each begins above the last key of the one before, so rows that share that key are not given again.
+
+    One pass over the rows in order of the key, a partition at a time; no page scans the table anew. Rows
+    without a key come first and only on the first page.
+    """
     if size < 1:
         raise InvalidArgument("a page has one row at least")
     base = query.copy()
     base.s.orders, base.s.limit, base.s.offset = [], None, 0
-    name, last, done = bare(column), None, 0
-    while True:
-        page = base.copy()
-        if last is not None:
-            held = page.s.where.pruned()
-            page.s.where = type(held)()
-            if held.items:
-                page.s.where.add("AND", held)
-            page.where(f"{column} >", last)
-        frame = page.order_by(column, "ASC").limit(size).to_df()
-        if name not in frame.columns:
-            raise InvalidArgument(f"the rows have no column {name!r}")
-        rows = [plain(r, True) for r in frame.collect()]
-        if not rows or callback(rows) is False:
-            return done
-        done += len(rows)
-        if len(rows) < size:
-            return done
-        last = getattr(rows[-1], name)
+    frame, name = base.order_by(column, "ASC").to_df(), bare(column)
+    if name not in frame.columns:
+        raise InvalidArgument(f"the rows have no column {name!r}")
+    done, page, first, last = 0, [], True, None
+    for row in frame.toLocalIterator(prefetchPartitions=True):
+        key = row[name]
+        if not first and (key is None or (last is not None and key <= last)):
+            continue
+        page.append(plain(row, True))
+        if len(page) == size:
+            if callback(page) is False:
+                return done
+            done, page, first, last = done + size, [], False, key
+    if page and callback(page) is not False:
+        done += len(page)
+    return done
