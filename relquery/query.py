@@ -96,6 +96,23 @@ class State:
     limit_per_parent: int | None = None
 
 
+#: Parts of a query that start_cache() records.
+_RECORDED = ("sources", "items", "joins", "where", "groups", "having", "orders", "aggregates", "relations")
+
+
+def _items(state: State, name: str) -> list:
+    part = getattr(state, name)
+    return part.items if isinstance(part, pr.Group) else part
+
+
+def _joined(first: State, more: State) -> State:
+    """A new state with the parts of both."""
+    out = State(distinct=first.distinct or more.distinct)
+    for name in _RECORDED:
+        _items(out, name).extend([*_items(first, name), *_items(more, name)])
+    return out
+
+
 class Query:
     """Methods change the query and return it; ``copy()`` branches off."""
 
@@ -103,6 +120,11 @@ class Query:
         self.session = session
         self.s = State()
         self._open: list[pr.Group] = []
+        self._kept, self._begun = State(), None  # recorded clauses; where the recording began
+        self._set: dict[str, Any] = {}
+        self._insert_rows: list[dict[str, Any]] = []
+        self._update_rows: list[dict[str, Any]] = []
+        self._index = ""
 
     def copy(self) -> Query:
         out = Query(self.session)
@@ -110,12 +132,116 @@ class Query:
         for name in ("sources", "items", "joins", "groups", "orders", "aggregates", "relations"):
             setattr(out.s, name, list(getattr(self.s, name)))
         out.s.where, out.s.having = copy.deepcopy(self.s.where), copy.deepcopy(self.s.having)
+        out._kept = self._kept
+        out._set, out._insert_rows, out._update_rows, out._index = dict(self._set), list(self._insert_rows), list(self._update_rows), self._index
         return out
 
     def reset_query(self) -> Query:
-        self.s, self._open = State(), []
+        """Empty again, but for recorded clauses."""
+        self.s, self._open = _joined(State(), self._kept), []
+        self._set, self._insert_rows, self._update_rows, self._index = {}, [], [], ""
+        return self
+
+    def start_cache(self) -> Query:
+        """From now on clauses are recorded; reset_query() keeps them."""
+        if self._begun is None:
+            self._begun = {name: len(_items(self.s, name)) for name in _RECORDED} | {"distinct": self.s.distinct}
+        return self
+
+    def stop_cache(self) -> Query:
+        if self._begun is not None:
+            more = State(distinct=self.s.distinct and not self._begun["distinct"])
+            for name in _RECORDED:
+                _items(more, name).extend(_items(self.s, name)[self._begun[name] :])
+            self._kept, self._begun = _joined(self._kept, more), None
+        return self
+
+    def flush_cache(self) -> Query:
+        """Forgets what was recorded; clauses of the present query stay."""
+        self._kept, self._begun = State(), None
+        return self
+
+    # ------------------------------------------------------------ queued writes
+
+    def set(self, key: Any, value: Any = None, escape: bool = True) -> Query:
+        """Values for the next insert(), replace() or update(). escape=False: the value is an expression."""
+        from relquery.operators.writes import Raw
+
+        for k, v in key.items() if isinstance(key, Mapping) else [(key, value)]:
+            self._set[nm.column(k)] = v if escape or v is None else Raw(v)
         return self
 
+    def set_insert_batch(self, rows: Any, value: Any = None, escape: bool = True) -> Query:
+        """Rows for the next insert_batch(): a list of mappings, one mapping, or a column and its value."""
+        self._insert_rows += self._queued(rows, value, escape)
+        return self
+
+    def set_update_batch(self, rows: Any, index: str = "", escape: bool = True) -> Query:
+        """Rows for the next update_batch(), each with its index."""
+        made = self._queued(rows, None, escape)
+        if index and any(index not in r for r in made):
+            raise InvalidArgument(f"each row needs {index!r}")
+        self._update_rows += made
+        self._index = index or self._index
+        return self
+
+    @staticmethod
+    def _queued(rows: Any, value: Any, escape: bool) -> list[dict[str, Any]]:
+        from relquery.operators.writes import Raw
+
+        rows = [{rows: value}] if isinstance(rows, str) else [rows] if isinstance(rows, Mapping) else list(rows)
+        return [{nm.column(k): v if escape or v is None else Raw(v) for k, v in r.items()} for r in rows]
+
+    def _written(self, table: str) -> str:
+        """The table to write to: named here or as the query's only source."""
+        if table:
+            return self.session.prefixed(table)
+        if len(self.s.sources) != 1 or not isinstance(self.s.sources[0].source, str):
+            raise InvalidArgument("a write names one table")
+        return self.s.sources[0].source
+
+    def _values(self, values: Mapping[str, Any] | None) -> dict[str, Any]:
+        made = self._set | dict(values or {})
+        if not made:
+            raise InvalidArgument("nothing to set")
+        return made
+
+    def insert(self, table: str = "", values: Mapping[str, Any] | None = None) -> bool:
+        done = self.session.insert(self._written(table), self._values(values))
+        self.reset_query()
+        return done
+
+    def replace(self, table: str = "", values: Mapping[str, Any] | None = None, key: Any = None) -> bool:
+        done = self.session.replace(self._written(table), self._values(values), key)
+        self.reset_query()
+        return done
+
+    def update(self, table: str = "", values: Mapping[str, Any] | None = None) -> bool:
+        """Sets what is queued in the rows that the query's conditions and limit leave."""
+        done = self.session.update(self._written(table), self._values(values), self._conditions(), self.s.limit)
+        self.reset_query()
+        return done
+
+    def delete(self, table: str = "") -> bool:
+        if not self.s.where.pruned().items:
+            raise InvalidArgument("delete needs a condition; empty_table takes all rows out")
+        done = self.session.delete(self._written(table), self._conditions(), self.s.limit)
+        self.reset_query()
+        return done
+
+    def insert_batch(self, table: str = "", rows: Any = None) -> int:
+        done = self.session.insert_batch(self._written(table), self._insert_rows + self._queued(rows or [], None, True))
+        self.reset_query()
+        return done
+
+    def update_batch(self, table: str = "", rows: Any = None, index: str = "") -> int:
+        done = self.session.update_batch(self._written(table), self._update_rows + self._queued(rows or [], None, True), index or self._index, self._conditions())
+        self.reset_query()
+        return done
+
+    def _conditions(self) -> Query | None:
+        return self if self.s.where.pruned().items else None
+
     # ------------------------------------------------------------ sources
 
     def from_(self, *given: Any) -> Query:
