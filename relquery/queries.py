@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relquery.functions import expressions as ex
+from relquery.functions import names as nm
 from relquery.operators.writes import Raw
 from relquery.query import Query
 from relquery.session import Session
@@ -381,8 +383,9 @@ def oldest(s):
     return s.query_on("orders").select("o_orderkey").oldest("o_orderdate").order_by("o_orderkey").limit(15)
 
 
-@query()
+@query("select n_nationkey from nation")
 def order_by_random(s):
+    """The rows in a random order: none is lost, none made (rows are compared as a set)."""
     return s.query_on("nation").select("n_nationkey").order_by("7", "RANDOM")
 
 
@@ -490,7 +493,9 @@ def calc_rows(s):
     return _one_row(s, found=r.found_rows(), fetched=r.num_rows()).selectExpr("found", "int(fetched)")
 
 
-@query()
+@query("""select '"r_regionkey","r_name"' || chr(10) || string_agg('"' || r_regionkey || '","' || r_name || '"' || chr(10), '' order by r_regionkey) csv,
+  '<root>' || chr(10) || string_agg(chr(9) || '<element>' || chr(10) || chr(9) || chr(9) || '<r_regionkey>' || r_regionkey || '</r_regionkey>' || chr(10)
+    || chr(9) || chr(9) || '<r_name>' || r_name || '</r_name>' || chr(10) || chr(9) || '</element>' || chr(10), '' order by r_regionkey) || '</root>' || chr(10) xml from region""")
 def result_text(s):
     df = s.query_on("region").order_by("r_regionkey").to_df()
     return _one_row(s, csv=csv_text(df), xml=xml_text(df))
@@ -603,3 +608,166 @@ def expr_calculations(s):
     q.with_calculation({"orders": "f"}, "o_custkey", "c_custkey", "SUM(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 1000 THEN o_totalprice ELSE 0 END)")
     q.with_calculation({"orders": "z"}, "o_custkey", "c_custkey", "MAX(DAY(o_orderdate)) % (MIN(DAY(o_orderdate)) - MIN(DAY(o_orderdate)))")
     return q.to_df().withColumns({"f": F.round("f", 2), "z": F.col("z").cast("long")})
+
+@query("""select c_custkey, power(c_nationkey, 2) pw, round(sqrt(c_nationkey), 6) sq, c_mktsegment || '-x' cc, lower(c_mktsegment) lo, trim('  a ') tr, coalesce(nullif(c_nationkey, 3), -1) i1,
+  case when c_acctbal > 0 then 'p' else 'n' end i2, ceil(c_acctbal) ce, abs(c_acctbal) ab, c_nationkey % 7 md, cast(c_nationkey as varchar) ca, cast(c_nationkey as double) cv, cast('12' as bigint) + 1 cs from customer""")
+def expr_more_functions(s):
+    texts = {
+        "c_custkey": "c_custkey", "pw": "POW(c_nationkey, 2)", "sq": "ROUND(SQRT(c_nationkey), 6)", "cc": "CONCAT(c_mktsegment, '-', \"x\")", "lo": "LOWER(c_mktsegment)", "tr": "TRIM('  a ')", "i1": "IFNULL(NULLIF(c_nationkey, 3), -1)",
+        "i2": "IF(c_acctbal > 0, 'p', 'n')", "ce": "CEIL(c_acctbal)", "ab": "ABS(c_acctbal)", "md": "MOD(c_nationkey, 7)", "ca": "CAST(c_nationkey AS CHAR)", "cv": "CONVERT(c_nationkey, DOUBLE)", "cs": "CAST('12' AS SIGNED) + 1",
+    }
+    q = s.query_on("customer")
+    for name, text in texts.items():
+        q.select(f"{ex.to_spark(text)} AS {name}", False)
+    return q.to_df().withColumn("ce", F.col("ce").cast("double"))
+
+
+@query("""select o_orderkey, month(o_orderdate) mo, cast(o_orderdate as date) da, hour(o_orderdate) ho, minute(o_orderdate) mi, second(o_orderdate) se, date_diff('day', date '1990-01-01', cast(o_orderdate as date)) dd,
+  date_sub('month', timestamp '1990-01-01', o_orderdate) dm, true now_is_later, true today, 8 clock from orders""")
+def expr_dates(s):
+    texts = {
+        "o_orderkey": "o_orderkey", "mo": "MONTH(o_orderdate)", "da": "DATE(o_orderdate)", "ho": "HOUR(o_orderdate)", "mi": "MINUTE(o_orderdate)", "se": "SECOND(o_orderdate)", "dd": "DATEDIFF(o_orderdate, '1990-01-01')",
+        "dm": "TIMESTAMPDIFF(MONTH, CAST('1990-01-01' AS DATETIME), CAST(o_orderdate AS DATETIME))", "now_is_later": "NOW() > CAST('2020-01-01' AS DATETIME)", "today": "CURDATE() = DATE(NOW())", "clock": "LENGTH(CURTIME())",
+    }
+    q = s.query_on("orders")
+    for name, text in texts.items():
+        q.select(f"{ex.to_spark(text)} AS {name}", False)
+    return q.to_df().withColumns({c: F.col(c).cast("long") for c in ("mo", "ho", "mi", "se", "dd")})
+
+
+@query("select n_nationkey, case when n_regionkey in (1, 2) then 'in' else 'out' end w, n_name = 'x' same from nation")
+def expr_in_and_strings(s):
+    return s.query_on("nation").select("n_nationkey").select("CASE WHEN n_regionkey IN (1, 2) THEN 'in' ELSE 'out' END AS w", False).select("n_name = 'x' AS same", False)
+
+
+@query("select c_custkey from customer where c_mktsegment = 'BUILDING' or (c_nationkey = 3 and c_acctbal > 0)")
+def or_group_start(s):
+    return s.query_on("customer").select("c_custkey").where("c_mktsegment", "BUILDING").or_group_start().where("c_nationkey", 3).where("c_acctbal >", 0).group_end()
+
+
+@query("select * from region order by r_regionkey")
+def select_star_and_order(s):
+    return s.query_on("region").select("*").order_by("r_regionkey")
+
+
+@query("select o_custkey, count(*) orders_count from orders group by o_custkey having count(*) > 10")
+def process_pending(s):
+    """The steps that flush pending parts may be called at any time."""
+    q = s.query_on("orders").select("o_custkey, count(*) AS orders_count").group_by("o_custkey").having("count(*) >", 10)
+    return q.process_aggregates().process_where_aggregates().process_join_aggregates().process_where_has().process_where_exists()
+
+
+@query("select o_orderkey from orders where o_custkey % 3 = 0 or o_orderkey = 1")
+def where_in_long_mixed(s):
+    """A list of over ten thousand values of several types behaves as a short one."""
+    most = s.table("orders").agg(F.max("o_custkey")).first()[0]
+    values = [*range(0, max(most, 30_003) + 1, 3), 1.5, "x"]
+    return s.query_on("orders").select("o_orderkey").where_in("o_custkey", values).or_where("o_orderkey", 1)
+
+
+@query("select r_regionkey, case when r_regionkey = 1 then 'zz' else r_name end r_name from region union all select 77, 'new'")
+def dml_raw_replace(s):
+    s.query("REPLACE INTO region (r_regionkey, r_name) VALUES (1, 'zz'), (77, 'old'), (77, 'new')")
+    return s.table("region")
+
+
+@query("select n_nationkey, case when n_regionkey = 2 then upper(n_name) || '!' else n_name end n_name from nation union all select 90, 'A' union all select 91, 'B' union all select 92, 'C'")
+def dml_set_queue(s):
+    q = s.query_on("nation")
+    q.set("n_name", "concat(upper(n_name), '!')", False).where("n_regionkey", 2).update()
+    q.set({"n_nationkey": 90}).set("n_name", "A").insert("nation")
+    q.set_insert_batch([{"n_nationkey": 91, "n_name": "B"}]).set_insert_batch({"n_nationkey": 92, "n_name": "x"}).insert_batch("nation")
+    q.set_update_batch([{"n_nationkey": 92, "n_name": "C"}], "n_nationkey").update_batch("nation")
+    return s.table("nation").select("n_nationkey", "n_name")
+
+
+@query("select count(*) filter (n_regionkey = 1) updated, count(*) filter (n_nationkey in (1, 2)) batched, count(*) filter (n_regionkey = 2) deleted, 1::bigint inserted from nation")
+def affected_rows(s):
+    s.update("nation", {"n_name": "x"}, {"n_regionkey": 1})
+    updated = s.affected_rows
+    batched = s.update_batch("nation", [{"n_nationkey": k, "n_name": "y"} for k in (1, 2, -5)], "n_nationkey")
+    s.delete("nation", {"n_regionkey": 2})
+    deleted = s.affected_rows
+    s.insert("nation", {"n_nationkey": 99})
+    return _one_row(s, updated=updated, batched=batched, deleted=deleted, inserted=s.affected_rows)
+
+
+@query("select r_regionkey, r_name from region where r_regionkey < 3")
+def clause_cache(s):
+    q = s.query_on("region").start_cache().where("r_regionkey <", 3).stop_cache().order_by("r_name")
+    return q.reset_query().from_("region")
+
+
+@query("select 0::bigint emptied, false there, 1::bigint named, 'bigint' kind")
+def forge_more(s):
+    s.empty_table("region")
+    s.add_field({"id": {"type": "INT"}, "label": {"type": "VARCHAR"}})
+    s.add_key("id", True)
+    s.create_table("made")
+    s.modify_column("made", {"id": {"type": "BIGINT", "name": "key"}})
+    kind = {f["name"]: f["type"] for f in s.field_data("made")}["key"]
+    named = int(s.field_exists("key", "made"))
+    s.drop_table("made")
+    return _one_row(s, emptied=s.count_all("region"), there=s.table_exists("made"), named=named, kind=kind)
+
+
+@query("""select 'INSERT INTO t (a, b) VALUES (1, ''x'')' ins, 'UPDATE t SET a = 1 WHERE b = ''x''' upd, 'DELETE FROM t WHERE b = ''x''' del, 'SELECT a FROM t WHERE a > 3 ORDER BY a DESC LIMIT 2' sel,
+  'select * from t where a = 5 and b = ''?'' and c = ''x''' binds, 'a!%b!_c!!' lik, '(1,''x'',NULL)' esc, '`t`.`a` AS `x`' pro, 'pre_t' pre, true w1, false w2""")
+def compiled_text(s):
+    s.tables["t"] = s.spark.createDataFrame([(1, "x")], "a int, b string")
+    where = {"b": "x"}
+    row = {
+        "ins": s.get_compiled_insert("t", {"a": 1, "b": "x"}), "upd": s.get_compiled_update("t", {"a": 1}, where), "del": s.get_compiled_delete("t", where), "sel": s.query_on("t").select("a").where("a >", 3).order_by("a", "DESC").limit(2).get_compiled_select(),
+        "binds": s.compile_binds("select * from t where a = ? and b = '?' and c = ?", [5, "x"]), "lik": s.escape_like_str("a%b_c!"), "esc": s.escape([1, "x", None]), "pro": s.protect_identifiers("t.a AS x"), "w1": s.is_write_type(" update t set a = 1"), "w2": s.is_write_type("select 1"),
+    }
+    s.set_dbprefix("pre_")
+    return _one_row(s, **row, pre=s.dbprefix("t"))
+
+
+@query("""select min(r_name) "first", max(r_name) "last", (select r_name from region order by r_name limit 1 offset 1) "next", min(r_name) previous, (select r_name from region order by r_name limit 1 offset 2) sought, 'set' changed, 2::bigint fields,
+  'r_regionkey,r_name' names, min(r_name) streamed, min(r_name) made, min(r_name) nth, count(*) n from region""")
+def result_cursor(s):
+    class Made:
+        pass
+
+    r = s.query_on("region").order_by("r_name").get()
+    got = {"first": r.first_row().r_name, "last": r.last_row("array")["r_name"], "next": r.next_row().r_name, "previous": r.previous_row().r_name, "sought": (r.data_seek(2), r.row(2))[1].r_name}
+    got |= {"made": r.custom_result_object(Made)[0].r_name, "streamed": r.unbuffered_row().r_name, "nth": r.row_array(0)["r_name"], "fields": r.num_fields(), "names": ",".join(r.list_fields()), "n": len(r.result())}
+    r.data_seek(0)
+    r.set_row("r_name", "set")
+    return _one_row(s, **got, changed=r.row_array(0)["r_name"])
+
+
+@query("select count(*) + 1 committed, count(*) + 1 rolled, count(*) + 1 failed, false status, true again, false off, true active from region")
+def transaction_calls(s):
+    add = lambda k: s.insert("region", {"r_regionkey": k, "r_name": "t"})
+    s.trans_begin()
+    active = s.trans_active()
+    add(50)
+    s.trans_commit()
+    committed = s.count_all("region")
+    s.trans_begin()
+    add(51)
+    s.trans_rollback()
+    rolled = s.count_all("region")
+    s.trans_strict(False)
+    s.trans_start()
+    add(52)
+    s.trans_fail()
+    status = s.trans_status()
+    s.trans_complete()
+    s.trans_start()
+    again = s.trans_complete()
+    s.trans_off()
+    return _one_row(s, committed=committed, rolled=rolled, failed=s.count_all("region"), status=status, again=again, off=s.trans_begin(), active=active)
+
+
+@query("select 'a_1' ok, 3::bigint refused, 2::bigint keys, true custom, false custom_bad, true calculation, false calculation_bad, 'o' alias, true timed, 2::bigint logged, true database")
+def validation_and_log(s):
+    refused = sum(not nm.is_column(x) for x in ("a b", "drop", "a" * 70, "a_1", "t.a"))
+    s.query_on("region").get()
+    s.query("select 1 as x")
+    return _one_row(
+        s, ok=nm.column("a_1"), refused=refused, keys=len(nm.key_pairs(["a", "b"], ["c", "d"])[0]), custom=ex.is_custom("a * b"), custom_bad=ex.is_custom("SUM(a) OR 1=1"), calculation=ex.is_calculation("SUM(a) / COUNT(b)"), calculation_bad=ex.is_calculation("sleep(1)"),
+        alias=nm.table_and_alias("orders AS o")[1], timed=s.elapsed_time() >= 0, logged=len(s.all_last_query()) if s.last_query() == "select 1 as x" else -1, database=s.database_exists("default") and "default" in s.list_databases(),
+    )

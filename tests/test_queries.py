@@ -1,13 +1,13 @@
 """Rows and shapes that queries give on a small fixture."""
 
 import warnings
-from pathlib import Path
 
 import pytest
 
 from relquery.functions.names import InvalidArgument
 from relquery.operators.writes import Raw
 from relquery.query import Query
+from relquery.session import Session
 
 KEYS = ("person_id", "id")
 
@@ -365,19 +365,109 @@ def test_a_page_reads_related_rows_of_its_own_keys_only(people):
     assert [(r.name, [s.value for s in r.scores]) for r in frame.collect()] == [("Alice", [10, 30, 50]), ("Bob", [])]
 
 
-def test_what_replaces_recorded_clauses_and_queued_rows(people, db):
-    text = (Path(__file__).parents[1] / "README.md").read_text().partition("Not provided:")[2].partition("\n")[0]
-    for name in ("start_cache", "stop_cache", "flush_cache", "set", "set_insert_batch", "set_update_batch"):
-        assert f"`{name}`" in text and not hasattr(Query, name) and not hasattr(db, name)
-    base = people().where("category", "A")
-    assert names(base.copy().where("id", 3)) == ["Charlie"] and names(base.copy().or_where("id", 2)) == ["Alice", "Bob", "Charlie"]
-    assert names(base) == ["Alice", "Charlie"]
-    rows = [{"id": 5, "name": "E"}]
-    rows.append({"name": "F", "id": 6})
-    assert db.insert_batch("people", rows) == 2 and names(people()) == ["Alice", "Bob", "Charlie", "E", "F"]
-    rows = [{"id": 5, "name": "E5"}]
-    rows.append({"id": 6, "email": "f@x"})
-    db.update_batch("people", rows, "id")
-    assert [(r.name, r.email) for r in people().where("id >", 4).get().result()] == [("E5", None), ("F", "f@x")]
+def test_recorded_clauses_outlive_a_reset(people, db):
+    q = db.query_on("people").start_cache().where("category", "A").select("id").stop_cache()
+    q.where("id >", 1).order_by("id")
+    assert q.pluck("id") == [3]
+    q.reset_query()
+    q.from_("people").order_by("id")
+    assert q.pluck("id") == [1, 3]
+    q.flush_cache().reset_query()
+    assert q.from_("people").order_by("id").pluck("id") == [1, 2, 3]
     with pytest.raises(InvalidArgument):
-        db.update_batch("people", [*rows, {"name": "x"}], "id")
+        db.query_on().pluck("id")
+
+
+def test_queued_writes(db):
+    q = db.query_on("people")
+    assert q.set("name", "Dora").set({"id": 4, "category": "B"}).insert()
+    assert db.affected_rows == 1 and db.count_all("people") == 4
+    q.from_("people").set("name", "upper(name)", False).where("category", "B").update()
+    assert db.affected_rows == 2 and sorted(db.query_on("people").pluck("name")) == ["Alice", "BOB", "Charlie", "DORA"]
+    q.set_insert_batch([{"id": 5, "name": "E"}, {"id": 6, "name": "F"}]).set_insert_batch({"id": 7, "name": "G"})
+    assert q.insert_batch("people") == 3 and db.count_all("people") == 7
+    assert q.set_update_batch([{"id": 5, "name": "Eve"}, {"id": 99, "name": "none"}], "id").update_batch("people") == 1
+    assert db.query_on("people").where("id", 5).value("name") == "Eve"
+    q.from_("people").where("id >", 4).delete()
+    assert db.affected_rows == 3 and db.count_all("people") == 4
+    assert q.set({"id": 1, "name": "Al"}).replace("people", key="id") and db.query_on("people").where("id", 1).value("name") == "Al"
+    for bad in (lambda: q.from_("people").delete(), lambda: q.insert("people"), lambda: q.set("a b", 1), lambda: db.query_on().set("name", "x").update()):
+        with pytest.raises(InvalidArgument):
+            bad()
+
+
+def test_raw_replace_and_affected_rows(db):
+    db.query("REPLACE INTO profiles (id, person_id, rank) VALUES (1, 1, 77), (9, 9, 9), (9, 9, 10)")
+    assert db.affected_rows == 2 and sorted((r["id"], r["rank"]) for r in db.query_on("profiles").get().result_array()) == [(1, 77), (2, 30), (3, 20), (9, 10)]
+    db.query("INSERT INTO profiles VALUES (10, 1, 5)")
+    assert db.affected_rows == 1 and db.count_all("profiles") == 5
+    db.query("UPDATE profiles SET rank = rank + 1 WHERE id > 3")
+    assert db.affected_rows == 2
+    db.query("DELETE FROM profiles WHERE id = 10 OR id = 9")
+    assert db.affected_rows == 2 and db.update_batch("profiles", [{"id": 1, "rank": 1}, {"id": 50, "rank": 2}], "id") == 1
+    db.empty_table("profiles")
+    assert db.affected_rows == 3
+
+
+@pytest.mark.parametrize("negated", [False, True])
+def test_long_lists_behave_as_short_ones(spark, negated, monkeypatch):
+    from relquery.plans import compiler
+
+    frame = spark.createDataFrame([(1, 1.5, "1", True), (2, 2.0, "x", False), (None, None, None, None)], "i int, d double, s string, b boolean")
+    lists = [[1.5, 1], ["1", "zz"], [1, "2", None], [True, 2], [None], ["true", 1], [2.0, "x", True]]
+    for column in ("i", "d", "s", "b"):
+        for values in lists:
+            found = []
+            for limit in (10_000, 0):
+                monkeypatch.setattr(compiler, "LONG_LIST", limit)
+                q = Session(spark, {"t": frame}).query_on("t")
+                found.append(sorted(map(str, (q.where_not_in if negated else q.where_in)(column, values).get().result_array())))
+            assert found[0] == found[1], (column, values, found)
+
+
+def test_committed_tables_last(spark, tmp_path, db):
+    folder = str(tmp_path / "store")
+    one = Session(spark, {"people": db.table("people")}, store=folder)
+    one.insert("people", {"id": 4, "name": "Dora"})
+    assert Session(spark, store=folder).count_all("people") == 4
+    one.trans_begin()
+    one.delete("people", {"id": 4})
+    one.add_field("id")
+    one.create_table("made")
+    assert Session(spark, store=folder).list_tables() == ["people"] and one.count_all("people") == 3
+    one.trans_rollback()
+    assert one.count_all("people") == 4 and not one.table_exists("made")
+    before = sorted(str(p) for p in (tmp_path / "store").rglob("*"))
+    assert one.transaction(lambda s: (s.delete("people", {"id": 4}), 1 / 0)) is False and sorted(str(p) for p in (tmp_path / "store").rglob("*")) == before
+    for k in range(12):
+        one.update("people", {"name": f"n{k}"}, {"id": 1})
+    assert one.table("people")._jdf.queryExecution().analyzed().toString().count("\n") < 4
+    two = Session(spark, store=folder)
+    assert two.query_on("people").where("id", 1).value("name") == "n11"
+    two.rename_table("people", "folk")
+    assert Session(spark, store=folder).list_tables() == ["folk"]
+    from relquery.sources.store import Conflict
+
+    with pytest.raises(Conflict):
+        one.update("people", {"name": "late"}, {"id": 1})
+    assert two.tables.store.sweep() > 5 and Session(spark, store=folder).count_all("folk") == 4
+
+
+def test_pages_by_key_read_the_table_once(spark):
+    frame = spark.createDataFrame([(k // 2, k) for k in range(20)] + [(None, 99)], "id int, n int").repartition(3)
+    pages = []
+    assert Session(spark, {"t": frame}).query_on("t").chunk_by_id(3, lambda p: pages.append([r.id for r in p])) == 17
+    assert pages == [[None, 0, 0], [1, 1, 2], [3, 3, 4], [5, 5, 6], [7, 7, 8], [9, 9]]
+
+
+def test_names_in_text_are_not_tables(db):
+    assert db.query("SELECT 'profiles' AS x").value("x") == "profiles" and not db.spark.catalog.tableExists("category_scores")
+    assert db.protect_identifiers("people.id AS x") == "`people`.`id` AS `x`" and db.protect_identifiers("people.*") == "`people`.*" and db.protect_identifiers("count(x)") == "count(x)"
+    db.set_dbprefix("pre_")
+    assert db.protect_identifiers("people.id") == "`pre_people`.`id`"
+    db.set_dbprefix("")
+    db.query_on("people").calc_rows().get(limit=1)
+    assert db.get_found_rows() == 3
+    from relquery.sources.tables import sql_text
+
+    assert sql_text(db.tables, ["profiles"]).splitlines()[:2] == ["DROP TABLE IF EXISTS profiles;", "CREATE TABLE profiles (id BIGINT, person_id BIGINT, rank BIGINT);"]
