@@ -6,8 +6,10 @@ cost per text is a few vectorised passes and no Python loop runs over words.
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once; a longer text forms a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
+#: Bytes of an Arrow batch on its way to or from Python, unless the session sets its own bound.
+BATCH_BYTES = 4 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -28,17 +32,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
 
-    The folder is the cluster's shared one if the session names it; a folder of
-    our own is set only where the setting is absent, as in local tests.
+    The folder is the cluster's shared one, which the session names. A folder of our
+    own is set only where none is named and driver and executors are one process, as in
+    local tests; a cluster without a shared folder is refused.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="relquery-"))
     return df.checkpoint(eager=True)
 
 
+def hidden(frame: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of the frame has, in any case of letters."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _free() -> None:
+    """Give memory back that the task's arrays held, as Spark keeps workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU C library
+        pass
+
+
+def in_arrow(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes and workers that return their memory."""
+    conf = frame.sparkSession.conf
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(bound) in ("67108864", "67108864b", "64m", "64MB"):  # Spark's default
+        conf.set(bound, str(BATCH_BYTES))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _free()
+
+    return frame.mapInArrow(lean, schema)
+
+
 def native_words(text: Column) -> Column:
     """Words of a text, split at space, tab, line feed, vertical tab, form feed, return."""
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -169,9 +211,13 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
 
 def distinct_by_text(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct hashes in ascending order, and their offsets."""
-    parts = [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    out = hashes.copy()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[offsets[:-1][offsets[:-1] < len(out)]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[offsets].astype(np.int64)
 
 
 # --------------------------------------------------------------------------- graph
