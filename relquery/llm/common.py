@@ -67,6 +67,16 @@ def _free() -> None:
         pass
 
 
+#: Rows of a few numbers that may be broadcast.
+SMALL_ROWS = 200_000
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """To be broadcast if it has few rows, else joined as Spark decides. It is counted, as estimates of joins are rough,
+    so give a checkpointed or cheap one, of numbers only."""
+    return F.broadcast(frame) if frame.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else frame
+
+
 def in_arrow(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with batches bounded by bytes and workers that return their memory."""
     conf = frame.sparkSession.conf

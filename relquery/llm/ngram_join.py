@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquery.llm.common import LOWER, SPACE, checkpointed, chunks, components, distinct_by_text, hidden, in_arrow, mix, shingle_hashes, span_hashes, table, texts_of, word_spans
+from relquery.llm.common import LOWER, SPACE, checkpointed, chunks, components, distinct_by_text, hidden, in_arrow, mix, shingle_hashes, small, span_hashes, table, texts_of, word_spans
 
 #: Nodes in a list whose pairs are counted; members of longer ones meet the list's hub.
 LONG = 64
@@ -383,7 +383,7 @@ def _crowd_links(members: DataFrame, k: int, percent: int) -> DataFrame:
     largest component) with any member of their crowd that has another root."""
     ddl, schema = _longs("a", "b")
     sizes = members.groupBy("crowd").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n"))) / BLOCK).cast("int").alias("lots"))
-    rows = members.join(sizes.where("lots > 0"), "crowd")
+    rows = members.join(small(checkpointed(sizes.where("lots > 0"))), "crowd")
     block, lot = (F.pmod(F.xxhash64("node", F.lit(c)), F.col(c)).cast("int") for c in ("blocks", "lots"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     index = rows.select("crowd", block.alias("block"), F.explode(upto("lots")).alias("lot"), F.lit(False).alias("asks"), "node", "root", "text")
@@ -403,7 +403,9 @@ def _crowd_links(members: DataFrame, k: int, percent: int) -> DataFrame:
         pairs = np.array(out, np.int64).reshape(-1, 2)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
-    return asked.union(index).groupBy("crowd", "block", "lot").applyInArrow(run, ddl)
+    key = ["crowd", "block", "lot"]  # a task's work follows pairs, not bytes, so few bytes are not put together
+    dealt = asked.union(index).repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    return dealt.groupBy(*key).applyInArrow(run, ddl)
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
@@ -428,8 +430,8 @@ def near_groups(documents: DataFrame, k: int = 4, percent: int = 85, long: int =
     # a row for each node before it meets anything, so that copies, however many, are one row
     nodes = named.where("n > 0").withColumn("r", F.xxhash64("doc_id", "h")).groupBy("node", "n").agg(F.min("r").alias("r"), F.min("doc_id").alias("head"))
     nodes = checkpointed(nodes)
-    holders = nodes.join(wanted, "node", "left_semi").select("r", "node", "n")
-    texts = checkpointed(rows.select(F.xxhash64("doc_id", "h").alias("r"), "text").join(holders, "r").dropDuplicates(["node"]).select("node", "n", "text"))
+    holders = checkpointed(nodes.join(wanted, "node", "left_semi").select("r", "node", "n"))
+    texts = checkpointed(rows.select(F.xxhash64("doc_id", "h").alias("r"), "text").join(small(holders), "r").dropDuplicates(["node"]).select("node", "n", "text"))
     plain = texts.select("node", "text")
 
     ends = pairs.select("a", "b", "c").union(spokes.select(F.col("hub").alias("a"), F.col("node").alias("b"), "c"))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquery.llm.common import chunks, table, texts_of
+from relquery.llm.common import chunks, in_arrow, table, texts_of
 from relquery.llm.tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, fill long"
@@ -126,7 +126,7 @@ def pack(documents: DataFrame, capacity: int = 1024, end_id: int = 0, json_path:
         packer.finish()
         yield packer.taken()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return in_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SCHEMA)
 
 
 def op8_ss_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
