@@ -3,6 +3,12 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir). All but the
 last return the columns of ``documents``. SQL can't express the stages (learned
 scores, fingerprints, tokens), so ``ORACLE_SQL`` is None and tests use brute force.
+
+Defined results of every stage: a null text counts as an empty one; empty and blank texts
+are scored like any other, hold no boilerplate and no benchmark item, have no near
+duplicates and are packed as their closing id; a null ``doc_id`` is a row like others; equal rows
+are treated alike, and one of them stays where copies go; texts of any length are taken
+whole; an empty table gives no rows; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
