@@ -148,7 +148,7 @@ def _power_table(base: int, n: int, name: str) -> np.ndarray:
         steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if n <= 8 * CHUNK_BYTES:
+        if n <= 2 * CHUNK_BYTES + 1:
             _powers[name] = have
     return have[:n]
 
@@ -185,8 +185,7 @@ def word_spans(space: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, by prefix sums of a polynomial modulo 2**64."""
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values[data] * _power_table(_MULTIPLIER, n, "powers"), out=sums[1:])
@@ -194,6 +193,34 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
     return mix(h + (ends - starts).astype(np.uint64))
 
 
+def _long_hash(data: np.ndarray, values: np.ndarray) -> np.uint64:
+    """The hash of one long span, a stretch at a time."""
+    total, factor, step = 0, 1, pow(_MULTIPLIER, CHUNK_BYTES, 1 << 64)
+    for a in range(0, len(data), CHUNK_BYTES):
+        part = values[data[a : a + CHUNK_BYTES]]
+        total += factor * int((part * _power_table(_MULTIPLIER, len(part), "powers")).sum())
+        factor = factor * step % (1 << 64)
+    return np.uint64(mix_one(total + len(data)))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, by prefix sums of a polynomial modulo 2**64. Spans ascend and do not
+    overlap; long data is taken in stretches, so it needs little more than itself."""
+    if len(data) <= 2 * CHUNK_BYTES:
+        return _span_hashes(data, starts, ends, values)
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        low = int(starts[i])
+        if ends[i] - low > 2 * CHUNK_BYTES:
+            out[i] = _long_hash(data[low : ends[i]], values)
+            i += 1
+            continue
+        j = int(np.searchsorted(ends, low + 2 * CHUNK_BYTES, "right"))
+        out[i:j] = _span_hashes(data[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low, values)
+        i = j
+    return out
+
+
 _PLACE = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
 
