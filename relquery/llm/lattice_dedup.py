@@ -380,3 +380,27 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.9, tables: int | None
 
 def op10_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def oracle(embeddings: str = "embeddings", cosine: float = 0.9) -> str:
+    """The same in SQL by all pairs; it agrees where no link is missed, as on the test tables."""
+    return f"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM {embeddings}
+),
+good AS (
+  SELECT r, vec_id, v FROM rows
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.r AS x, b.r AS y FROM good a JOIN good b ON a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) >= {cosine} * sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))
+),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT reach.x, min(rows.vec_id) AS vec_id FROM reach JOIN rows ON rows.r = reach.y GROUP BY reach.x),
+many AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM (
+  SELECT rows.vec_id, coalesce(many.n, 0) AS n_links, least(rows.vec_id, coalesce(least.vec_id, rows.vec_id)) AS component_id
+  FROM rows LEFT JOIN many ON many.x = rows.r LEFT JOIN least ON least.x = rows.r
+)
+"""

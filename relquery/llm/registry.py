@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.oracle(), "op9_line_spread": line_spread.oracle()}
+    return {"op2_ngram_join": ngram_join.oracle(), "op9_line_spread": line_spread.oracle(), "op10_lattice_dedup": lattice_dedup.oracle()}
