@@ -7,9 +7,11 @@ threshold, or within one site of it, are counted exactly. A line on
 ``min_sites`` sites or more is boilerplate and is taken out of every document
 but the holder with the least ``doc_id``, so no passage is lost altogether.
 
-Boilerplate meets the lines through a join on the hash, which adaptive
-execution may split where a line is hot; only the positions to be dropped are
-gathered, by document, before they meet the texts.
+Boilerplate lines are sent to all executors if their hashes, which are counted, fit
+``SMALL_ROWS``; more of them are joined on the hash, where adaptive execution splits hot
+ones. Only the positions to be dropped are gathered, by document, before they meet the texts; what
+is kept is found by one set difference of positions, so a text of many lines costs a
+pass.
 
 Defined results: lines are compared without outer ASCII white space; a blank
 line is never boilerplate; a null site counts as none; a null text stays null;
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquery.llm.common import table
+from relquery.llm.common import checkpointed, hidden, small, table
 
 #: log2 of the sketch's registers: a relative standard error of 1.04 / sqrt(2**12).
 LG_K = 12
@@ -59,20 +61,22 @@ def spread(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame:
 
 
 def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, site: str = "source", lg_k: int = LG_K) -> DataFrame:
-    rows = documents.drop("n_removed").withColumn("__key", F.xxhash64("text"))
-    lines = rows.where("text is not null").select("doc_id", F.col(site).alias("site"), "__key", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    lines = lines.select("doc_id", "site", "__key", "pos", F.xxhash64(_key(F.col("line"))).alias("h")).where(F.col("h") != F.xxhash64(F.lit("")))
-    spread_wide = spread(lines, min_sites, lg_k)
-    gone = lines.join(spread_wide, "h").where(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    gone = gone.groupBy("doc_id", "__key").agg(F.collect_set("pos").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("__key").alias("__text"), "__gone")
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__text")), "left")
-    kept = F.filter(_lines(F.col("text")), lambda line, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    made = {"text": text, "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
+    key, doc, text_key, gone_at, split = hidden(documents, "key", "doc", "text", "gone", "lines")
+    rows = documents.drop("n_removed").withColumn(key, F.xxhash64("text"))
+    lines = rows.where("text is not null").select(F.col("doc_id").alias("doc"), F.col(site).alias("site"), F.col(key).alias("key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    lines = lines.select("doc", "site", "key", "pos", F.xxhash64(_key(F.col("line"))).alias("h")).where(F.col("h") != F.xxhash64(F.lit("")))
+    wide = checkpointed(spread(lines.withColumnRenamed("doc", "doc_id"), min_sites, lg_k))
+    gone = lines.join(small(wide), "h").where(~F.col("doc").eqNullSafe(F.col("holder")))
+    gone = gone.groupBy("doc", "key").agg(F.collect_set("pos").alias("gone"))
+    gone = gone.select(F.col("doc").alias(doc), F.col("key").alias(text_key), F.col("gone").alias(gone_at))
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text_key)), "left")
+    joined = joined.withColumn(split, F.when(F.col(gone_at).isNotNull(), _lines(F.col("text"))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone_at))
+    text = F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(split), i)), "\n"))
+    made = {"text": text, "n_removed": F.coalesce(F.size(gone_at), F.lit(0)).cast("long")}
     if "n_chars" in documents.columns:
         made["n_chars"] = F.length(text).cast("long")
-    return joined.withColumns(made).select(*[c for c in documents.columns if c != "n_removed"], "n_removed")
+    return joined.withColumns(made).select(*[F.col(f"`{c}`") for c in documents.columns if c != "n_removed"], "n_removed")
 
 
 def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
