@@ -100,7 +100,7 @@ class BlockIndex:
 
     def _parts(self, prints: np.ndarray) -> list[np.ndarray]:
         """Each block's bits as a number."""
-        bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1)
+        bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), BITS // 8), axis=1)
         return [bits[:, a:b].astype(np.uint32) @ (np.uint32(1) << np.arange(b - a, dtype=np.uint32)) for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
 
     def search(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
