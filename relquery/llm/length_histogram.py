@@ -5,7 +5,7 @@ by length, which one aggregation adds up, so the shuffle carries lengths and
 counts only. Sums over all lengths from a length upward then answer totals,
 quantiles and truncated totals for every context limit without another scan.
 The sums are taken in blocks of lengths and over the blocks' totals; there are
-no more rows than different lengths.
+no more rows than different lengths. The histogram is checkpointed, so texts are encoded once.
 
 Defined results: a null or empty text has length 0; equal rows count as often as
 they occur; an empty table gives no rows; other columns are ignored.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relquery.llm.common import chunks, table, texts_of
+from relquery.llm.common import checkpointed, chunks, in_arrow, table, texts_of
 from relquery.llm.tokens import encoder
 
 BLOCK = 1024
@@ -37,13 +37,14 @@ def histogram(documents: DataFrame, json_path: str | None = None, rank_path: str
                 length, docs = np.unique(np.diff(first), return_counts=True)
                 yield pa.record_batch([pa.array(length.astype(np.int64)), pa.array(docs.astype(np.int64))], names=["n_tokens", "n_docs"])
 
-    counted = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n_tokens long, n_docs long")
+    counted = in_arrow(documents.select(F.col("text").cast("string").alias("text")), run, "n_tokens long, n_docs long")
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def suffix_sums(counts: DataFrame) -> DataFrame:
     """For every length that occurs: documents and tokens at that length or above, what is left
     of all tokens if texts are cut there, and the share of documents that are not longer."""
+    counts = checkpointed(counts)  # a row for each length; it is read twice below
     rows = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     up = Window.partitionBy("block").orderBy(F.desc("n_tokens"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
