@@ -15,8 +15,8 @@ import numpy as np
 
 from relquery.llm.common import EXACT, SPACE, span_hashes
 
-#: Distinct pieces that a worker remembers; beyond that it forgets all and goes on.
-CACHE_PIECES = 400_000
+#: Distinct pieces, and ids of theirs, that a worker remembers; beyond that it forgets all and goes on.
+CACHE_PIECES, CACHE_IDS = 200_000, 2_000_000
 
 
 class Encoder:
@@ -91,7 +91,7 @@ class Encoder:
         starts = self._pieces(data, offsets)
         ends = np.append(starts[1:], len(data))
         hashes, sample, back = np.unique(span_hashes(data, starts, ends, EXACT), return_index=True, return_inverse=True)
-        if len(self.known) + len(hashes) > CACHE_PIECES:
+        if len(self.known) + len(hashes) > CACHE_PIECES or self.used > CACHE_IDS:
             self._forget()
         get, learn = self.known.get, self._learn
         which = np.fromiter((k if (k := get(h)) is not None else learn(h, whole[starts[i] : ends[i]]) for h, i in zip(hashes.tolist(), sample.tolist(), strict=True)), np.int64, len(hashes))[back]
