@@ -20,6 +20,7 @@ equal results; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,19 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquery.llm.common import LOWER, SPACE, span_hashes, table, texts_of, word_spans
+from relquery.llm.common import LOWER, SPACE, in_arrow, span_hashes, table, texts_of, word_spans
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_UNREAD = "script|style|template|svg|math|iframe|object|canvas|noscript"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_UNREAD})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S | re.I,
-)
+#: Elements whose content is not read; unclosed ones of the first line hold the rest of the page, others nothing.
+_UNREAD = frozenset("script style".split() + "template svg math iframe object canvas noscript".split())
+_SWALLOWS = frozenset("script style".split())
+#: Open elements that are kept (as in browsers) and that a block's path names.
+DEPTH, PATH = 512, 32
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Where a tag ends, or a quoted value in it begins.
+_STOP = re.compile(r">|=\s*([\"'])")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+|[0-9]+")
 #: What a start tag closes, and where the search for it ends.
@@ -58,10 +61,98 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
+class _Scanner:
+    """The tags of a page in order, in time linear in its length: every search goes forward from where the last one
+    ended, and what was not found once is not looked for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.none: set[str] = set()  # what does not occur in the rest of the page
+
+    def _find(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none.add(what)
+        return found
+
+    def _end(self, at: int) -> int:
+        """Behind the ``>`` of a start tag; -1 if it stays open. A quoted value may hold a >, but one that is never closed, or
+        only by the first quote of a later tag's value, ends at the first >."""
+        page = self.page
+        while (m := _STOP.search(page, at)) is not None:
+            if m[1] is None:
+                return m.end()
+            close, first = self._find(m[1], m.end()), self._find(">", m.end())
+            if close < 0 or (0 <= first < close and page[close + 1 : close + 2].strip(" \t\r\n\f/>")):
+                return first + 1 if first >= 0 else -1
+            at = close + 1
+        return -1
+
+    def _behind(self, name: str, at: int) -> int:
+        """Behind the end tag of an unread element that was opened before ``at``; ``at`` if there is none."""
+        key = f"</{name}"
+        if key in self.none:
+            return len(self.page) if name in _SWALLOWS else at
+        depth, first = 1, -1
+        for m in re.compile(rf"<(/?){name}(?=[\s/>]|\Z)", re.I).finditer(self.page, at):
+            if not m[1]:
+                depth += name not in _SWALLOWS
+                continue
+            depth -= 1
+            end = self.page.find(">", m.end())
+            end = len(self.page) if end < 0 else end + 1
+            first = end if first < 0 else first
+            if depth == 0:
+                return end
+        if first >= 0:
+            return first
+        self.none.add(key)
+        return len(self.page) if name in _SWALLOWS else at
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """Start, end, name ("": nothing to be read), whether it is an end tag, and its attributes."""
+        page, size, at = self.page, len(self.page), 0
+        while (start := page.find("<", at)) >= 0:
+            after = page[start + 1 : start + 2]
+            if after in ("!", "?"):
+                if page.startswith("<!--", start):
+                    end = self._find("-->", start + 2)
+                    end = size if end < 0 else end + 3
+                else:
+                    end = self._find(">", start)
+                    end = size if end < 0 else end + 1
+                yield start, end, "", False, ""
+                at = end
+                continue
+            closing = after == "/"
+            m = _NAME.match(page, start + 1 + closing)
+            if m is None:
+                at = start + 1
+                if closing and (end := self._find(">", start)) >= 0:  # an end tag without a name is a comment
+                    yield start, end + 1, "", False, ""
+                    at = end + 1
+                continue
+            name = m[0].lower()
+            end = self._find(">", m.end()) + 1 if closing else self._end(m.end())
+            if end <= 0:  # markup left open
+                yield start, size, "", False, ""
+                return
+            if not closing and name in _UNREAD:
+                if page[end - 2] != "/":
+                    end = self._behind(name, end)
+                yield start, end, "", False, ""
+            else:
+                yield start, end, name, closing, page[m.end() : end - 1]
+            at = end
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order; texts decoded, white space made single, trimmed."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # tag, its description
+    count: dict[str, int] = {}  # how many of a tag are open
     parts: list[str] = []
     path: tuple[str, ...] = ()
     linked = anchors = 0
@@ -76,43 +167,48 @@ def blocks_of(page: str) -> list[Block]:
     def text(piece: str) -> None:
         nonlocal path, linked
         if not parts or not path:
-            path = tuple(d for _, d in stack)
+            path = tuple(d for _, d in stack[-PATH:])
         parts.append(piece)
         if anchors:
             linked += len(piece.strip())
 
+    def close(k: int) -> None:
+        for tag, _ in stack[k:]:
+            count[tag] -= 1
+        del stack[k:]
+
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+    for start, end, tag, closing, rest in _Scanner(page).tags():
+        if start > at:
+            text(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         if tag == "a":
-            anchors = 0 if m["end"] else 1
+            anchors = 0 if closing else 1
         elif tag == "br":
             parts.append(" ")
         elif tag in BLOCK_TAGS or tag in ("img", "input"):
             flush()
             anchors = 0
-            if m["end"]:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-                if k is not None:
-                    del stack[k:]
+            if closing:
+                if count.get(tag):
+                    close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             elif tag not in _VOID:
                 if stack and stack[-1][0] == "p":
-                    stack.pop()
+                    close(len(stack) - 1)
                 closed, within = _CLOSES.get(tag, ((), ()))
-                for k in range(len(stack) - 1, -1, -1) if closed else ():
-                    if stack[k][0] in within:
-                        break
-                    if stack[k][0] in closed:
-                        del stack[k:]
-                        break
-                names = " ".join(a or b or c for a, b, c in _NAMED.findall(m["rest"])) if m["rest"] else ""
-                stack.append((tag, " ".join([tag, *_PARTS.findall(names.lower())]) if names else tag))
+                if any(map(count.get, closed)):
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k][0] in within:
+                            break
+                        if stack[k][0] in closed:
+                            close(k)
+                            break
+                if len(stack) < DEPTH:
+                    names = " ".join(a or b or c for a, b, c in _NAMED.findall(rest)) if rest else ""
+                    stack.append((tag, " ".join([tag, *_PARTS.findall(names.lower())]) if names else tag))
+                    count[tag] = count.get(tag, 0) + 1
     if at < len(page):
         text(page[at:])
     flush()
@@ -281,24 +377,28 @@ class PageMaker:
 
     #: Words for names of elements and texts, as they are common on the web.
     SIDE = "sidebar side widget aside rail col-right secondary widget-area module".split()
-    ADS = "ad ads advert advertisement sponsored promo banner adsense ad-slot sponsor".split()
+    ADS = "ad ads advert advertisement sponsored promo banner adsense ad-slot sponsor ad-box inline-ad".split()
     NOTICE = "notice cookie cookie-banner consent gdpr alert popup modal message subscribe-box paywall".split()
     MENU = "menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar tabs links site-nav".split()
     FOOT = "footer foot site-footer copyright legal bottom colophon credits".split()
     HEAD = "header masthead top site-header branding logo hero-bar".split()
     TALK = "comments comment replies discussion responses comment-list disqus reader-comments feedback thread".split()
-    MORE = "related more also-read recommended popular trending share social tags pager pagination author-box newsletter".split()
+    MORE = "related more also-read recommended popular trending share sharing sharedaddy social tags tag-list pager pagination author-box newsletter related-stories more-stories read-next see-also".split()
     MAIN = "content article post entry story main body text article-body post-content entry-content main-content page-content prose".split()
     SAID = "home about contact login register subscribe share tweet reply report cookies accept policy privacy terms copyright rights reserved search menu newsletter advertisement sponsored related read more comments comment posted says by".split()
 
     def __init__(self, seed: int) -> None:
-        self.rng = np.random.default_rng(seed)
+        self.random = random.Random(seed).random
 
     def pick(self, items):
-        return items[int(self.rng.integers(len(items)))]
+        return items[int(self.random() * len(items))]
+
+    def number(self, low: int, high: int) -> int:
+        """From low to high - 1."""
+        return low + int(self.random() * (high - low))
 
     def chance(self, p: float) -> bool:
-        return self.rng.random() < p
+        return self.random() < p
 
     def language(self) -> None:
         letters = self.pick(["aeiou", "aeiouéè", "aeiouäöüß", "aeioóñí"])
@@ -308,9 +408,9 @@ class PageMaker:
     def words(self, n: int) -> str:
         out, left = [], 0
         for k in range(n):
-            w = "".join(self.pick(self.syllables) for _ in range(int(self.rng.integers(1, 5))))
+            w = "".join(self.pick(self.syllables) for _ in range(self.number(1, 5)))
             out.append(w.capitalize() if left == 0 else w)
-            left = int(self.rng.integers(3, 14)) if left == 0 else left - 1
+            left = self.number(3, 14) if left == 0 else left - 1
             if left == 0 or k == n - 1:
                 out[-1] += self.pick("...,!?") if k < n - 1 else self.pick("....!?")
         if self.style == "repeat" and n > 3:
@@ -322,21 +422,21 @@ class PageMaker:
         return (" | " if self.style == "bars" else " ").join(out)
 
     def prose(self) -> str:
-        return self.words(int(self.rng.integers(1, 8)) if self.chance(0.2) else int(self.rng.integers(6, 90)))
+        return self.words(self.number(1, 8) if self.chance(0.2) else self.number(6, 90))
 
     def named(self, names: list[str], p: float = 0.85) -> str:
         if not self.chance(p):
             return ""
         name = self.pick(names)
-        name += self.pick(["", "", "", f"-{self.rng.integers(9)}", " box", " wrap", " inner"])
+        name += self.pick(["", "", "", f"-{self.number(0, 9)}", " box", " wrap", " inner"])
         return self.pick([' class="{}"', ' id="{}"', " class='{}'", ' class="{} clearfix"']).format(name)
 
     def bad(self, text: str) -> str:
         return "\x02" + text
 
     def links(self) -> str:
-        short = lambda: self.pick(self.SAID) if self.chance(0.3) else self.words(int(self.rng.integers(1, 4)))
-        n = int(self.rng.integers(2, 9))
+        short = lambda: self.pick(self.SAID) if self.chance(0.3) else self.words(self.number(1, 4))
+        n = self.number(2, 9)
         return self.pick([
             lambda: "<ul>" + "".join(f'<li>{self.bad("")}<a href="/x">{short()}</a></li>' for _ in range(n)) + "</ul>",
             lambda: self.bad("") + " | ".join(f'<a href="/x">{short()}</a>' for _ in range(n)),
@@ -350,11 +450,11 @@ class PageMaker:
     def top(self) -> str:
         tag = self.pick(["header", "header", "div"])
         inside = self.pick(["<h1>{}</h1>", "<p>{}</p>", "<div>{}</div>", "<h2>{}</h2><p>{}</p>"])
-        return f"<{tag}{self.named(self.HEAD, 0.3 if tag == 'header' else 1)}>" + re.sub(r"\{\}", lambda _: self.bad(self.words(int(self.rng.integers(1, 9)))), inside) + (self.links() if self.chance(0.3) else "") + f"</{tag}>"
+        return f"<{tag}{self.named(self.HEAD, 0.3 if tag == 'header' else 1)}>" + re.sub(r"\{\}", lambda _: self.bad(self.words(self.number(1, 9))), inside) + (self.links() if self.chance(0.3) else "") + f"</{tag}>"
 
     def boxed(self, names: list[str], tags: list[str], p: float = 1) -> str:
         tag = self.pick(tags)
-        body = "".join(self.pick([lambda: f"<p>{self.bad(self.prose())}</p>", lambda: self.bad(self.prose()), lambda: f"<h3>{self.bad(self.words(3))}</h3>{self.links()}", lambda: f"<div>{self.bad(self.prose())}</div>"])() for _ in range(int(self.rng.integers(1, 4))))
+        body = "".join(self.pick([lambda: f"<p>{self.bad(self.prose())}</p>", lambda: self.bad(self.prose()), lambda: f"<h3>{self.bad(self.words(3))}</h3>{self.links()}", lambda: f"<div>{self.bad(self.prose())}</div>"])() for _ in range(self.number(1, 4)))
         if self.chance(0.3):
             body = self.bad(" ".join(self.pick(self.SAID) for _ in range(3)) + " ") + body.replace("\x02", "", 1) if body.startswith("\x02") else body
         return f"<{tag}{self.named(names, p)}>{body}</{tag}>"
@@ -363,18 +463,18 @@ class PageMaker:
         return f"<div{self.named(self.ADS, 1)}>{self.bad(self.prose())}</div>" if self.chance(0.6) else self.boxed(self.ADS, ["div", "aside", "section"])
 
     def form(self) -> str:
-        return f"<form{self.named(['search', 'login', 'signup', 'newsletter', 'contact', 'subscribe'], 0.6)}>" + "".join(self.pick([lambda: f"<label>{self.bad(self.words(2))}</label><input type=text>", lambda: f"<p>{self.bad(self.prose())}</p>", lambda: f"<button>{self.bad(self.words(1))}</button>", lambda: f"<select><option>{self.bad(self.words(1))}<option>{self.bad(self.words(1))}</select>"])() for _ in range(int(self.rng.integers(1, 5)))) + "</form>"
+        return f"<form{self.named(['search', 'login', 'signup', 'newsletter', 'contact', 'subscribe'], 0.6)}>" + "".join(self.pick([lambda: f"<label>{self.bad(self.words(2))}</label><input type=text>", lambda: f"<p>{self.bad(self.prose())}</p>", lambda: f"<button>{self.bad(self.words(1))}</button>", lambda: f"<select><option>{self.bad(self.words(1))}<option>{self.bad(self.words(1))}</select>"])() for _ in range(self.number(1, 5))) + "</form>"
 
     def talk(self) -> str:
         def one() -> str:
             head = self.pick(["", f"<div{self.named(['author', 'meta', 'user'], 0.8)}>{self.bad(self.words(2))}</div>", f"<h4>{self.bad(self.words(2))}</h4>"])
-            body = "".join(f"<p>{self.bad(self.prose())}</p>" if self.chance(0.8) else f"<div>{self.bad(self.prose())}</div>" for _ in range(int(self.rng.integers(1, 3))))
+            body = "".join(f"<p>{self.bad(self.prose())}</p>" if self.chance(0.8) else f"<div>{self.bad(self.prose())}</div>" for _ in range(self.number(1, 3)))
             tag = self.pick(["div", "li", "article", "section"])
             return f"<{tag}{self.named(['comment', 'reply', 'response', 'comment-body', 'post'], 0.7)}>{head}{body}</{tag}>"
 
         tag = self.pick(["section", "div", "ol", "ul", "aside"])
         title = f"<h3>{self.bad(self.pick(['Comments', 'Replies', 'Discussion', self.words(2)]))}</h3>" if self.chance(0.6) else ""
-        return f"<{tag}{self.named(self.TALK, 1)}>{title}{''.join(one() for _ in range(int(self.rng.integers(1, 6))))}</{tag}>"
+        return f"<{tag}{self.named(self.TALK, 1)}>{title}{''.join(one() for _ in range(self.number(1, 6)))}</{tag}>"
 
     def foot(self) -> str:
         tag = self.pick(["footer", "footer", "div"])
@@ -383,16 +483,17 @@ class PageMaker:
 
     def article(self) -> str:
         good = lambda text: "\x01" + text
-        out = [f"<{(h := self.pick(['h1', 'h1', 'h2']))}>{good(self.words(int(self.rng.integers(2, 14))))}</{h}>"] if self.chance(0.85) else []
-        size = int(self.rng.integers(12, 120) if self.chance(0.1) else self.rng.integers(1, 12))
+        out = [f"<{(h := self.pick(['h1', 'h1', 'h2']))}>{good(self.words(self.number(2, 14)))}</{h}>"] if self.chance(0.85) else []
+        size = self.number(12, 120) if self.chance(0.1) else self.number(1, 12)
         for _ in range(size):
             out.append(self.pick([
                 *[lambda: f"<p>{good(self.prose())}</p>"] * 8,
-                lambda: f"<p><b>{good(self.words(int(self.rng.integers(1, 20))))}<br>",
+                lambda: f"<p><b>{good(self.words(self.number(1, 20)))}<br>",
                 lambda: f"<p>{good(self.words(5))} <a href='/y'>{self.words(3)}</a> <i>{self.words(4)}</i> {self.prose()}</p>",
                 lambda: f"<h2>{good(self.words(4))}</h2>",
                 lambda: f"<h3>{good(self.words(3))}</h3>",
-                lambda: "<ul>" + "".join(f"<li>{good(self.words(int(self.rng.integers(2, 15))))}</li>" for _ in range(3)) + "</ul>",
+                lambda: "<ul>" + "".join(f"<li>{good(self.words(self.number(2, 15)))}</li>" for _ in range(self.number(2, 6))) + "</ul>",
+                lambda: "<ol>" + "".join(f"<li>{good(self.words(self.number(2, 15)))}</li>" for _ in range(self.number(2, 6))) + "</ol>",
                 lambda: f"<blockquote>{good(self.prose())}</blockquote>",
                 lambda: f"<blockquote><p>{good(self.prose())}</p></blockquote>",
                 lambda: f"<pre>{good(self.words(9))}</pre>",
@@ -404,9 +505,12 @@ class PageMaker:
         body = "".join(out)
         if self.chance(0.08):
             body += self.talk()
+        later = lambda: self.pick([lambda: f"<{(t := self.pick(['section', 'div', 'aside']))}{self.named(self.MORE, 1)}><h3>{self.bad(self.words(self.number(1, 5)))}</h3>{self.links()}</{t}>", lambda: f"<div{self.named(self.MORE, 1)}>{self.bad(self.pick(self.SAID) + ' ' + self.words(self.number(1, 4)))}</div>"])()
         return self.pick([
             *[lambda: f"<article{self.named(self.MAIN, 0.3)}>{body}</article>"] * 4,
             lambda: f"<main><article>{body}</article></main>",
+            lambda: f"<main{self.named(self.MAIN, 0.3)}><article>{body}</article>{later()}</main>",
+            lambda: f"<div{self.named(self.MAIN, 1)}>{body}{later()}</div>",
             lambda: f"<main{self.named(self.MAIN, 0.3)}>{body}</main>",
             lambda: f"<div{self.named(self.MAIN, 1)}>{body}</div>",
             lambda: f"<div{self.named(self.MAIN, 1)}><div>{body}</div></div>",
@@ -489,7 +593,7 @@ def extract(pages: DataFrame, net: Labeller | None = None, group: int = 256) ->
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(main_texts(part.column(2).to_pylist(), own), pa.string())], names=["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return in_arrow(rows, run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
