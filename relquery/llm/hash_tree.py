@@ -6,8 +6,9 @@ least draw wins, so a child is taken in proportion to its weight. A child's
 draw depends on nothing else: when a weight changes, only rows that enter or
 leave that subtree move, and all other rows keep their place.
 
-Growth by one shard opens a new region (rack 0, shard 0 in it). No old child
-changes its weight, so rows move only into the new shard. Other growth is
+The first ``founded`` shards stand in full regions. Every later one opens a region of its own
+(rack 0, shard 0 in it). No old child changes its weight then, so from any count of ``founded``
+or more, one more shard takes rows only into itself. Other growth is
 possible with ``Tree`` itself: a shard put into an old rack moves rows into
 that region, and inside it by the same rule.
 
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from relquery.llm.common import table
 
-#: Shards a region holds, and racks it has, in ``balanced``.
-REGION, RACKS = 10, 2
+#: Shards a region holds, racks it has and shards that found a tree, in ``balanced``.
+REGION, RACKS, FOUNDED = 10, 2, 40
 #: Buckets for slots, a shard. The counts, a row for each, stay below shards times this.
 BUCKETS = 256
 
@@ -42,9 +43,9 @@ class Tree:
     regions: tuple[tuple[tuple[tuple[int, float], ...], ...], ...]
 
     @staticmethod
-    def balanced(shards: int) -> Tree:
-        """Full regions of REGION shards in RACKS racks, then a region of one for each further shard."""
-        full, regions = shards // REGION, []
+    def balanced(shards: int, founded: int = FOUNDED) -> Tree:
+        """Regions of REGION of the founding shards in RACKS racks; then a region of one for each further shard."""
+        full, regions = min(shards, founded) // REGION, []
         for r in range(full):
             ids = range(r * REGION, (r + 1) * REGION)
             regions.append(tuple(tuple((s, 1.0) for s in ids[k::RACKS]) for k in range(RACKS)))
@@ -85,9 +86,9 @@ def place(rows: DataFrame, key: str, tree: Tree, into: str) -> DataFrame:
     return row.withColumn(into, _winner(F.col(key), F.get(F.get(shards, F.col(region)), F.col(rack)))).drop(region, rack)
 
 
-def shard_rows(documents: DataFrame, shards: int = 40, key: str = "doc_id", overhead: int = 16) -> DataFrame:
+def shard_rows(documents: DataFrame, shards: int = 40, key: str = "doc_id", overhead: int = 16, founded: int = FOUNDED) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row."""
-    tree = Tree.balanced(shards)
+    tree = Tree.balanced(shards, founded)
     rows = documents.select(
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long").alias("size"),
