@@ -10,7 +10,8 @@ key can turn them back (``restore``). Kinds:
 * date: yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy in the calendar from 1800 to 2199;
 * IPv4 address, phone number (its ten last digits), US social security number;
 * e-mail address (the part before @), access key, password and token after their
-  marks: characters move within their class (digit, lower, upper, accented, or hex).
+  marks: characters move within their class (digit, lower, upper, accented small or capital, hex, or
+  another script's: small or capital Cyrillic and Greek, kana, Hangul, Han and others of ``_RANGES``).
 
 Numbers are networks over mixed radix, so the domain is met exactly and no value
 leaves it; strings are networks over their two halves. A round's function is SHA-256 of
@@ -31,14 +32,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquery.llm.common import table
+from relquery.llm.common import hidden, table
 
-#: Stands for a secret of the deployment; pass your own.
-KEY = "relquery-default-key"
+#: Where a session's configuration holds the key.
+KEY_SETTING = "spark.relquery.pii.key"
+#: The published key of the registered query on test tables; it protects nothing, and no operator takes it by itself.
+SHOWN_KEY = "relquery-shown-key"
 ROUNDS = 10
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 _SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z2-7]{16}(?![A-Za-z0-9])|(?i:\bpassword\s?[=:]\s?)[A-Za-z0-9]{8,}|(?i:\b(?:token|secret|key)\s?[=:]\s?\"?)[0-9A-Fa-f]{24,}"
 _DATE = r"(?<![\d./-])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\d/-])"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
@@ -47,7 +50,9 @@ _SSN = r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])"
 _CARD = r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)"
 PATTERN = "|".join((_EMAIL, _SECRET, _DATE, _IP, _PHONE, _SSN, _CARD))
 _MARK = r"[=:](?<=(?i:password|token|secret|key)\s?[=:])"
-_CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëíîïñóôöùúûüß")
+_CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëíîïñóôöùúûüß", "ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ")
+#: First and last letters of other classes: runs of letters of one kind, by code point.
+_RANGES = ((0x0430, 0x045F), (0x0400, 0x042F), (0x03B1, 0x03C9), (0x0391, 0x03A1), (0x03A3, 0x03A9), (0x05D0, 0x05EA), (0x0620, 0x063A), (0x0905, 0x0939), (0x0E01, 0x0E2E), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 _DAYS, _DAY_A, _DAY_B = "1800-01-01", 189, 773  # 400 years have 189 * 773 days
 
 
@@ -114,7 +119,15 @@ def _string(s: Column, key: str, kind: str, back: bool, classes: tuple[str, ...]
                 at = F.call_function("instr", F.lit(alphabet), c)
                 to = F.pmod(at - 1 + (-step if back else step), F.lit(len(alphabet))) + 1
                 out = F.when((at > 0) & (c != ""), F.substr(F.lit(alphabet), to, F.lit(1))).otherwise(out)
-            return out
+            if classes is not _CLASSES:
+                return out
+            # the steps of one byte would reach 256 letters of a long run, so two bytes are taken here
+            far = F.conv(F.substr(by, F.pmod(k, F.lit(16)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            code, moved_to = F.ascii(c), F.lit(None).cast("int")
+            for first, last in _RANGES:
+                moved_to = F.when(code.between(first, last), F.pmod(code - first + (-far if back else far), F.lit(last - first + 1)) + first).otherwise(moved_to)
+            other = F.decode(F.unhex(F.lpad(F.hex(moved_to), 4, "0")), "UTF-16BE")
+            return F.when(code > 255, F.coalesce(other, out)).otherwise(out)
 
         return F.array_join(F.transform(F.split(half, ""), one), "")
 
@@ -217,24 +230,30 @@ def _maybe(text: Column) -> Column:
     return text.rlike(r"[0-9@]") | text.contains("AKIA") | text.rlike(_MARK)
 
 
-def pseudonymise(documents: DataFrame, key: str = KEY, back: bool = False) -> DataFrame:
-    """The documents with pseudonyms in their texts; ``back`` turns pseudonyms into the values."""
+def pseudonymise(documents: DataFrame, key: str | None = None, back: bool = False) -> DataFrame:
+    """The documents with pseudonyms in their texts; ``back`` turns pseudonyms into the values. The key is the
+    deployment's secret: given here or in the session's ``spark.relquery.pii.key``; without one nothing is done."""
+    key = key or documents.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"a key is needed: pass one or set {KEY_SETTING}")
+    at, put = hidden(documents, "found", "new")
     maybe = _maybe(F.col("text"))
-    rows = documents.drop("n_pseudonyms").withColumn("__found", F.when(maybe, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
-    rows = rows.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, key, back))))
+    rows = documents.drop("n_pseudonyms").withColumn(at, F.when(maybe, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
+    rows = rows.withColumn(put, F.when(F.size(at) > 0, F.transform(at, lambda m: pseudonym(m, key, back))))
     gaps = F.split(F.col("text"), PATTERN, -1)
-    text = F.when(F.col("__new").isNotNull(), F.array_join(F.flatten(F.zip_with(gaps, "__new", lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")).otherwise(F.col("text"))
-    count = F.aggregate(F.zip_with("__found", "__new", lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    made = {"text": text, "n_pseudonyms": F.when(F.col("__new").isNotNull(), count).otherwise(F.lit(0)).cast("long")}
+    text = F.when(F.col(put).isNotNull(), F.array_join(F.flatten(F.zip_with(gaps, put, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")).otherwise(F.col("text"))
+    count = F.aggregate(F.zip_with(at, put, lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    made = {"text": text, "n_pseudonyms": F.when(F.col(put).isNotNull(), count).otherwise(F.lit(0)).cast("long")}
     if "n_chars" in documents.columns:
-        made["n_chars"] = F.when(F.col("__new").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars").cast("long"))
-    return rows.withColumns(made).drop("__found", "__new")
+        made["n_chars"] = F.when(F.col(put).isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars").cast("long"))
+    return rows.withColumns(made).drop(at, put)
 
 
-def restore(documents: DataFrame, key: str = KEY) -> DataFrame:
+def restore(documents: DataFrame, key: str | None = None) -> DataFrame:
     """The documents with their values again, given the key of ``pseudonymise``."""
     return pseudonymise(documents, key, back=True)
 
 
 def op7_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents")
+    return pseudonymise(documents, spark.conf.get(KEY_SETTING, None) or SHOWN_KEY)
