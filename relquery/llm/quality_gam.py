@@ -9,8 +9,9 @@ for each feature and pair, so a score is a sum of looked-up bins: vectorised,
 the same on every executor, and readable.
 
 Labels: rows of ``labels`` whose crc32(doc_id) mod ``folds`` is not 0, at most
-``max_labels`` of them in order of a hash of the id (a documented bound, so that the
-fit on the driver has a fixed size at any scale). No score sees labels, lang, source or id.
+``max_labels`` of them in order of a hash of the id, and at most ``max_labels`` labelled
+documents (ids that occur more than once come in that order too): documented bounds, so that
+the fit on the driver has a fixed size at any scale. No score sees labels, lang, source or id.
 
 Defined results: a null text is scored as an empty one; a null ``doc_id`` is held
 out (its checksum is taken as 0); rows labelled twice count twice, null labels are
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquery.llm.common import LOWER, SPACE, chunks, mix, span_hashes, table, texts_of, word_spans
+from relquery.llm.common import LOWER, SPACE, chunks, in_arrow, mix, span_hashes, table, texts_of, word_spans
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "upper", "digits", "high_bytes", "brackets", "strange", "shouts", "stops",
@@ -62,8 +63,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     rows = len(size)
 
     def count(mask: np.ndarray, at: np.ndarray = offsets) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-        return sums[at[1:]] - sums[at[:-1]]
+        sums = np.zeros(len(mask) + 1, np.int32 if len(mask) < 1 << 31 else np.int64)
+        np.cumsum(mask, out=sums[1:])
+        return (sums[at[1:]] - sums[at[:-1]]).astype(np.int64)
 
     space = SPACE[data]
     starts, ends, first = word_spans(space, offsets)
@@ -228,12 +230,13 @@ def learn(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                x = features(*texts_of(part.column(1)))
-                yield pa.record_batch([part.column(0), *[pa.array(c) for c in x.T]], names=["quality", *names])
+                x = features(*texts_of(part.column(2)))
+                yield pa.record_batch([part.column(0), part.column(1), *[pa.array(c) for c in x.T]], names=["doc_id", "quality", *names])
 
     text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = text.join(F.broadcast(known), "doc_id")  # max_labels small rows at most
-    got = joined.select("quality", "text").mapInArrow(run, "quality int, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values([*names, "quality"])
+    made = in_arrow(joined.select("doc_id", "quality", "text"), run, "doc_id long, quality int, " + ", ".join(f"{n} double" for n in names))
+    got = made.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *names).limit(max_labels).toPandas().sort_values([*names, "quality"])
     return fit(got[names].to_numpy(float), got["quality"].to_numpy(float))
 
 
@@ -249,7 +252,7 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     """``doc_id, held_out, score, predicted`` for every row."""
     model = learn(documents, labels, max_labels, folds)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(lambda batches: _scored(batches, model), "doc_id long, score double")
+    scored = in_arrow(rows, lambda batches: _scored(batches, model), "doc_id long, score double")
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -263,7 +266,7 @@ def reject(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
                 keep = model.score(features(*texts_of(part.column(part.schema.get_field_index("text"))))) >= threshold
                 yield part.filter(pa.array(keep))
 
-    return documents.mapInArrow(run, documents.schema)
+    return in_arrow(documents, run, documents.schema)
 
 
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
