@@ -45,6 +45,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,8 +151,8 @@ def nodes_of(documents: DataFrame, k: int) -> DataFrame:
     return in_arrow(documents.select("doc_id", "h", "text"), run, ddl)
 
 
-def frequencies(counted: DataFrame) -> np.ndarray:
-    """The sum of all tasks' counters; its size is fixed, whatever the input's."""
+def frequencies(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of all tasks' counters added up: ``_ranks`` and ``_parts``. Their size is fixed, whatever the input's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -164,10 +165,13 @@ def frequencies(counted: DataFrame) -> np.ndarray:
     lots = counted.where("slice is not null").select("slice", "counts", F.pmod(F.spark_partition_id(), F.lit(LOTS)).alias("lot"))
     for key in (["slice", "lot"], ["slice"]):
         lots = in_arrow(lots.repartition(*key).select("slice", "counts"), run, ddl)
-    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
-    for s, data in lots.collect():  # SLICES rows
-        out[s] += _unpacked(bytes(data))
-    return out.ravel()
+    slices = {s: bytes(data) for s, data in lots.collect()}  # SLICES rows at most
+    usual = sum(int(_unpacked(data).sum()) for data in slices.values()) / (1 << SKETCH_BITS)
+    ranks, parts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint16), np.ones((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint16)
+    for s, data in slices.items():  # a slice at a time, as the driver has little memory to spare
+        counts = _unpacked(data)
+        ranks[s], parts[s] = _ranks(counts), _parts(counts, usual)
+    return ranks.ravel(), parts.ravel()
 
 
 def _ranks(counts: np.ndarray) -> np.ndarray:
@@ -175,17 +179,16 @@ def _ranks(counts: np.ndarray) -> np.ndarray:
     return np.round(np.log2(counts + 1.0) * 512).astype(np.uint16)
 
 
-def _parts(counts: np.ndarray) -> np.ndarray:
+def _parts(counts: np.ndarray, usual: float) -> np.ndarray:
     """Into how many parts the lists of a counter's elements are dealt: its excess over chance, by PART."""
-    usual = counts.mean()
-    return 1 + np.maximum(0, counts - usual - 6 * np.sqrt(usual)) // PART
+    return np.minimum(1 + np.maximum(0, counts - usual - 6 * np.sqrt(usual)) // PART, 65_535).astype(np.uint16)
 
 
-def _entries(documents: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
+def _entries(documents: DataFrame, k: int, percent: int, sent: Broadcast) -> DataFrame:
     """``key, part, node, size, place``: an entry for each of a node's |x| - T(x) + 1 rarest elements, and the
-    element's place among them; part is 0 for a list in one part. A task that meets a node again makes none."""
+    element's place among them; part is 0 for a list in one part. A task that meets a node again makes none.
+    sent: what ``frequencies`` gives."""
     ddl, schema = _longs("key", "part", "node", "size", "place")
-    sent = documents.sparkSession.sparkContext.broadcast((_ranks(counts), _parts(counts).astype(np.uint32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, parts = sent.value
@@ -419,7 +422,9 @@ def near_groups(documents: DataFrame, k: int = 4, percent: int = 85, long: int =
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     read = checkpointed(nodes_of(rows, k))
     named = read.where("slice is null").select("doc_id", "h", "n", "node")
-    merged = checkpointed(_merged(_entries(rows, k, percent, frequencies(read)), percent, long))
+    sent = documents.sparkSession.sparkContext.broadcast(frequencies(read))
+    merged = checkpointed(_merged(_entries(rows, k, percent, sent), percent, long))
+    sent.destroy()  # the checkpoint needs it no longer
     pairs = merged.where("nb >= 0")
     longs = merged.where("nb < 0").select(F.col("a").alias("node"), F.col("b").alias("key"), F.col("na").alias("n"))
     per_node = longs.groupBy("node").agg(F.count("*").alias("held"))
